@@ -27,6 +27,7 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -167,6 +168,37 @@ def automaton(path: str) -> BpeAutomaton:
     return BpeAutomaton(path)
 
 
+class RankEncoder:
+    """The same ids as an array, for callers that need no automaton: merges by rank in compiled code.
+
+    It serves vocabularies whose ids rise with the merges' ranks; other files, texts with
+    a special token and texts with very long runs of white space go to the automaton.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.path, bpe = path, BpeAutomaton(path)
+        made = sorted((rank, token) for token, (_, _, rank) in bpe._made.items())
+        rising = all(x[1] < y[1] for x, y in zip(made, made[1:], strict=False))
+        ranks = {b: i for i, b in bpe.labels.items() if i not in bpe.special.values()}
+        self._special = tuple(bpe.special)
+        self._fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if rising else None
+        self._runs = regex.compile(r"\s{1000}")
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, "<u4")
+        if self._fast is None or any(s in text for s in self._special) or len(text) >= 1000 and self._runs.search(text):
+            return np.array(automaton(self.path).encode(text), "<u4")
+        return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+
+@lru_cache(maxsize=2)
+def rank_encoder(path: str) -> RankEncoder:
+    return RankEncoder(path)
+
+
 def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``ids`` array<int> of every whole text, and ``decoded``, the text spelled by those ids."""
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import automaton
+from .bpe import rank_encoder
 from .common import chunks
 
 
@@ -129,7 +129,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int =
     """
 
     def run(batches):
-        bpe = automaton(path)
+        bpe = rank_encoder(path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33, buffer)
         id_type = None
 
@@ -145,9 +145,7 @@ def pack_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int =
         for batch in chunks(batches, 200):
             id_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode(text)
-                ids.append(end_id)
-                packer.add(key, np.array(ids, "<u4"))
+                packer.add(key, np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4", copy=False))
             yield from out(packer.drain())
         packer.finish()
         yield from out(packer.drain())

@@ -77,6 +77,12 @@ def test_bpe_random_strings():
         assert mine.encode(text) == tk.encode(text, add_special_tokens=False).ids
 
 
+def test_rank_encoder_gives_the_same_ids():
+    mine, fast = bpe.automaton(BPE), bpe.rank_encoder(BPE)
+    for text in [*TEXTS, " " * 200_000 + "x", "y\n" + " \t" * 5000, "z" * 100_000]:
+        assert fast.encode(text).tolist() == mine.encode(text)
+
+
 def test_fill_is_optimal():
     rnd = random.Random(3)
     for _ in range(300):
