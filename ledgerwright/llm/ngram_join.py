@@ -110,8 +110,8 @@ def shown(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(u: np.ndarray) -> np.ndarray:
-    """XOR of one bit per shingle; twice as many bits as the set's size rounded up to a power of four."""
-    bits = max(64, 2 * 4 ** (_band(max(1, len(u))) + 1))
+    """XOR of one bit per shingle; as many bits as the set's size rounded up to a power of four."""
+    bits = max(64, 4 ** (_band(max(1, len(u))) + 1))
     ones = np.bincount((_mixed(u ^ _M3) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8))
 
@@ -146,16 +146,16 @@ def _batch(names: str, types, rows) -> pa.RecordBatch:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """id, n, d1, d2 of every row: the set's size and 128-bit hash."""
+    """id, n, d1, d2, sketch of every row: the set's size, 128-bit hash and bit sketch."""
 
     def make(rows):
         out = []
         for doc, text in rows:
             u = shingle_set(text)
-            out.append((doc, len(u), *struct.unpack(">qq", xxhash.xxh3_128_digest(u.tobytes()))))
-        yield _batch("id n d1 d2", [pa.int64()] * 4, out)
+            out.append((doc, len(u), *struct.unpack(">qq", xxhash.xxh3_128_digest(u.tobytes())), bit_sketch(u).tobytes()))
+        yield _batch("id n d1 d2 sketch", [pa.int64()] * 4 + [pa.binary()], out)
 
-    return _sets(docs, "id long, n long, d1 long, d2 long", make)
+    return _sets(docs, "id long, n long, d1 long, d2 long, sketch binary", make)
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -212,15 +212,40 @@ def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(side, "id", "left_semi").select("id", "text")
 
 
+def _near(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether sizes and bit sketches allow a link."""
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    size = min(len(a), len(b))
+    x, y = (fold(np.frombuffer(s, np.uint8), size) for s in (a, b))
+    return int(np.bitwise_count(x ^ y).sum()) <= most_apart(n, m)
+
+
+def _plausible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bit sketches don't exclude."""
+
+    def side(x):
+        return classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+    def run(batches):
+        for batch in chunks(batches, 5000):
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            ok = [_near(*v) for v in zip(x, n, y, m, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are linked, checked on the whole sets."""
 
     def make(rows):
-        got = [(doc, shingle_set(text).tobytes()) for doc, text in rows]
-        yield _batch("id u", [pa.int64(), pa.binary()], got)
+        got = {(doc, shingle_set(text).tobytes()) for doc, text in rows}
+        yield _batch("id u", [pa.int64(), pa.binary()], sorted(got))
 
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-nodes")
-    sets = written(_sets(_of_nodes(docs, nodes), "id long, u binary", make).distinct(), "join-sets")
+    sets = written(_sets(_of_nodes(docs, nodes), "id long, u binary", make), "join-sets")
     left = sets.select(F.col("id").alias("a"), F.col("u").alias("ua"))
     right = sets.select(F.col("id").alias("b"), F.col("u").alias("ub"))
 
@@ -232,53 +257,63 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(check, "a long, b long")
 
 
-def _cross_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (sig, id, c) of one group in different components that the bit sketches don't exclude."""
-
-    def make(rows):
-        got = [(doc, len(u), bit_sketch(u).tobytes()) for doc, u in ((d, shingle_set(t)) for d, t in rows)]
-        yield _batch("id n sketch", [pa.int64(), pa.int64(), pa.binary()], got)
-
-    nodes = written(members.select("id").distinct(), "join-nodes")
-    sketches = written(_sets(_of_nodes(docs, nodes), "id long, n long, sketch binary", make).distinct(), "join-sketches")
-    sized = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("k")).where("k is not null")
-    cell = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    dealt = members.join(sized, "sig").withColumn("cell", cell)
+def cross_pairs(held: list[tuple], between: bool) -> set[tuple[int, int]]:
+    """Pairs of members (id, component, cell, n, sketch) in different components that the sketches don't exclude.
+
+    ``between``: only pairs from two cells.
+    """
+    out: set[tuple[int, int]] = set()
+    by_size: dict[int, list[tuple]] = {}
+    for h in held:
+        by_size.setdefault(len(h[4]), []).append(h)
+    sides = []
+    for size, rows in sorted(by_size.items()):
+        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), size)
+        sides.append((size, bits, *(np.array([r[k] for r in rows]) for k in range(4))))
+    for i, (size, bits, ids, comps, cells, ns) in enumerate(sides):
+        for j, (other, more, ids2, comps2, cells2, ns2) in enumerate(sides[i:]):
+            folded = np.bitwise_xor.reduce(more.reshape(len(more), other // size, size), axis=1)
+            for r in range(len(ids)):
+                at = np.flatnonzero((comps2 != comps[r]) & (4 * np.minimum(ns2, ns[r]) >= 3 * np.maximum(ns2, ns[r])) & ((cells2 != cells[r]) | (not between)))
+                if j == 0:
+                    at = at[at > r]
+                if len(at):
+                    apart = np.bitwise_count(folded[at] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                    for k in at[apart <= (ns2[at] + ns[r]) // 7]:
+                        out.add((min(int(ids[r]), int(ids2[k])), max(int(ids[r]), int(ids2[k]))))
+    return out
+
+
+def _cross_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``cross_pairs`` of the members (sig, id, c) of each group; large groups are dealt to cells, and pairs of cells to tasks."""
+    sized = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("k"))
+    dealt = members.join(sized, "sig").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     cells = dealt.select("sig", "id", "c", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     cells = cells.select("sig", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "id", "c", "cell")
+    full = cells.join(classes.select("id", "n", "sketch"), "id").select("sig", "x", "y", "id", "c", "cell", "n", "sketch")
 
     def run(batches):
-        key, held = None, []
+        key, held, sent = None, [], set()
 
         def pairs():
-            out = []
-            if len({h[1] for h in held}) > 1:
-                size = np.array([h[3] for h in held])
-                comp = np.array([h[1] for h in held])
-                side = np.array([h[2] for h in held])
-                for i in range(len(held) - 1):
-                    n, m = size[i], size[i + 1 :]
-                    ok = (comp[i + 1 :] != comp[i]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
-                    if key[1] != key[2]:
-                        ok &= side[i + 1 :] != side[i]
-                    for j in np.flatnonzero(ok) + i + 1:
-                        s, t = np.frombuffer(held[i][4], np.uint8), np.frombuffer(held[j][4], np.uint8)
-                        least = min(len(s), len(t))
-                        if int(np.bitwise_count(fold(s, least) ^ fold(t, least)).sum()) <= most_apart(int(n), int(size[j])) and held[i][0] != held[j][0]:
-                            out.append((min(held[i][0], held[j][0]), max(held[i][0], held[j][0])))
-            return _batch("a b", [pa.int64()] * 2, sorted(set(out)))
+            if len({h[1] for h in held}) < 2:
+                return _batch("a b", [pa.int64()] * 2, [])
+            if len(sent) > 1_000_000:
+                sent.clear()
+            new = cross_pairs(held, key[1] != key[2]) - sent
+            sent.update(new)
+            return _batch("a b", [pa.int64()] * 2, sorted(new))
 
         for batch in batches:
-            for *k, doc, c, side, n, sketch in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for *k, doc, c, cell, n, sketch in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k != key:
                     if held:
                         yield pairs()
                     key, held = k, []
-                held.append((doc, c, side, n, sketch))
+                held.append((doc, c, cell, n, sketch))
         if held:
             yield pairs()
 
-    full = cells.join(sketches, "id").select("sig", "x", "y", "id", "c", "cell", "n", "sketch")
     return full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -297,17 +332,20 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = written(shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
     first = classes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("d1", "d2", "a")
     same = classes.where("n > 0").join(first, ["d1", "d2"]).where("id > a").select("a", F.col("id").alias("b"))
-    links = written(same.union(_verified(docs, pairs)), "join-links")
+    likely = written(_plausible(classes, pairs).distinct(), "join-likely")
+    links = written(same.union(_verified(docs, likely)), "join-links")
     found = connected_components(links)
 
     def labelled(frame: DataFrame, col: str, out: str) -> DataFrame:
         return frame.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    apart = written(labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("pivot"), F.col("b").alias("node")), "join-apart")
-    if apart.limit(1).count():
-        groups = written(shared.join(shared.join(apart, ["pivot", "node"], "left_semi").select("sig").distinct(), "sig", "left_semi"), "join-mixed")
-        members = groups.select("sig", F.col("node").alias("id")).union(groups.select("sig", "pivot").distinct())
-        more = _verified(docs, written(_cross_pairs(docs, written(labelled(members, "id", "c"), "join-members")), "join-pairs"))
-        links = written(more, "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
+    apart = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+    large = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig")  # a pivot and two more
+    mixed = shared.join(apart, ["pivot", "node"], "left_semi").select("sig").distinct().join(large, "sig", "left_semi")
+    groups = written(shared.join(mixed, "sig", "left_semi").select("sig", "node"), "join-mixed")
+    if groups.limit(1).count():
+        members = written(labelled(groups.withColumnRenamed("node", "id"), "id", "c"), "join-members")
+        more = written(_cross_pairs(classes, members), "join-likely")
+        links = written(_verified(docs, more), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
         found = connected_components(links)
     return labelled(classes, "id", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast("long"))
