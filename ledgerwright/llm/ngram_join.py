@@ -15,7 +15,9 @@ Sets that show the same parity form a group. Each group's smallest member is com
 with the others, and the links found are joined to components. Members of a group that
 are still in different components are compared among themselves, in blocks of bounded
 size, unless the Hamming distance of their bit sketches (XOR of one bit per shingle), a
-lower bound of the difference, is over D. Every link is verified on the whole sets.
+lower bound of the difference, is over D: first each with its nearest, which joins most
+of what belongs together, then, over the components left, all. Every link is verified on
+the whole sets.
 
 Equal sets are one class: one member shows blocks for each input task, the others join
 by the set's 128-bit hash.
@@ -44,7 +46,7 @@ WORDS = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
 #: Members of a group that are compared in one block, rows of the sample for the order, and frequent parities kept of it.
-GROUP_BLOCK, ORDER_ROWS, ORDER_KEPT = 1024, 2000, 100_000
+GROUP_BLOCK, ORDER_ROWS, ORDER_KEPT = 1024, 8000, 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,8 +112,8 @@ def shown(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(u: np.ndarray) -> np.ndarray:
-    """XOR of one bit per shingle; as many bits as the set's size rounded up to a power of four."""
-    bits = max(64, 4 ** (_band(max(1, len(u))) + 1))
+    """XOR of one bit per shingle; twice as many bits as the set's size rounded up to a power of four."""
+    bits = max(64, 2 * 4 ** (_band(max(1, len(u))) + 1))
     ones = np.bincount((_mixed(u ^ _M3) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8))
 
@@ -145,44 +147,40 @@ def _batch(names: str, types, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names.split())
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """id, n, d1, d2, sketch of every row: the set's size, 128-bit hash and bit sketch."""
+def _classes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """id, n, d1, d2, sketch, shown of every row: the set's size, 128-bit hash, bit sketch and packed signatures.
 
-    def make(rows):
-        out = []
-        for doc, text in rows:
-            u = shingle_set(text)
-            out.append((doc, len(u), *struct.unpack(">qq", xxhash.xxh3_128_digest(u.tobytes())), bit_sketch(u).tobytes()))
-        yield _batch("id n d1 d2 sketch", [pa.int64()] * 4 + [pa.binary()], out)
-
-    return _sets(docs, "id long, n long, d1 long, d2 long, sketch binary", make)
-
-
-def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """sig, node: what each class shows, by its first row in a task."""
+    A class shows its signatures by its first row in a task; the others have null.
+    """
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in chunks(batches, 200):
-            sigs, nodes, counts = [], [], []
+        for batch in chunks(batches, 500):
+            out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 u = shingle_set(text)
-                if doc is None or not len(u):
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                digest = xxhash.xxh3_128_digest(u.tobytes())
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                s = shown(u, frequent)
-                sigs.append(s)
-                nodes.append(doc)
-                counts.append(len(s))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["sig", "node"])
-
-    return docs.mapInArrow(run, "sig long, node long")
+                digest, packed = xxhash.xxh3_128_digest(u.tobytes()), None
+                if doc is not None and len(u) and digest not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(digest)
+                    packed = shown(u, frequent).tobytes()
+                out.append((doc, len(u), *struct.unpack(">qq", digest), bit_sketch(u).tobytes(), packed))
+            yield _batch("id n d1 d2 sketch shown", [pa.int64()] * 4 + [pa.binary()] * 2, out)
+
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, sketch binary, shown binary")
+
+
+def _signatures(classes: DataFrame) -> DataFrame:
+    """sig, node: a row for each signature."""
+
+    def run(batches):
+        for batch in chunks(batches, 1000):
+            packed = batch.column(1).to_pylist()
+            counts = [len(x) // 8 for x in packed]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), counts))], names=["sig", "node"])
+
+    return classes.where("shown is not null").select("id", "shown").mapInArrow(run, "sig long, node long")
 
 
 def _groups(signatures: DataFrame) -> DataFrame:
@@ -257,11 +255,13 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ua", "ub").mapInArrow(check, "a long, b long")
 
 
-def cross_pairs(held: list[tuple], between: bool) -> set[tuple[int, int]]:
+def cross_pairs(held: list[tuple], between: bool, nearest: bool = False) -> set[tuple[int, int]]:
     """Pairs of members (id, component, cell, n, sketch) in different components that the sketches don't exclude.
 
-    ``between``: only pairs from two cells.
+    ``between``: only pairs from two cells. ``nearest``: one partner for each member, of
+    the smallest distance.
     """
+    best: dict[int, tuple] = {}
     out: set[tuple[int, int]] = set()
     by_size: dict[int, list[tuple]] = {}
     for h in held:
@@ -279,12 +279,20 @@ def cross_pairs(held: list[tuple], between: bool) -> set[tuple[int, int]]:
                     at = at[at > r]
                 if len(at):
                     apart = np.bitwise_count(folded[at] ^ bits[r]).sum(axis=1, dtype=np.int64)
-                    for k in at[apart <= (ns2[at] + ns[r]) // 7]:
-                        out.add((min(int(ids[r]), int(ids2[k])), max(int(ids[r]), int(ids2[k]))))
-    return out
-
-
-def _cross_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:
+                    fits = apart <= (ns2[at] + ns[r]) // 7
+                    at, apart = at[fits], apart[fits]
+                    if not nearest:
+                        out.update((min(int(ids[r]), x), max(int(ids[r]), x)) for x in ids2[at].tolist())
+                    elif len(at):
+                        k = int(apart.argmin())
+                        best[int(ids[r])] = min(best.get(int(ids[r]), (1 << 60, 0)), (int(apart[k]), int(ids2[at[k]])))
+                        for x, d in zip(ids2[at].tolist(), apart.tolist(), strict=True):
+                            if d < best.get(x, (1 << 60, 0))[0]:
+                                best[x] = (d, int(ids[r]))
+    return out | {(min(x, y), max(x, y)) for x, (_, y) in best.items()}
+
+
+def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
     """``cross_pairs`` of the members (sig, id, c) of each group; large groups are dealt to cells, and pairs of cells to tasks."""
     sized = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("k"))
     dealt = members.join(sized, "sig").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
@@ -300,7 +308,7 @@ def _cross_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:
                 return _batch("a b", [pa.int64()] * 2, [])
             if len(sent) > 1_000_000:
                 sent.clear()
-            new = cross_pairs(held, key[1] != key[2]) - sent
+            new = cross_pairs(held, key[1] != key[2], nearest) - sent
             sent.update(new)
             return _batch("a b", [pa.int64()] * 2, sorted(new))
 
@@ -318,34 +326,42 @@ def _cross_pairs(classes: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Parities shown three times or more by a bounded sample of rows; they only come last in the order."""
-    few = _signatures(docs.limit(ORDER_ROWS), np.empty(0, np.uint64)).groupBy("sig").count().where("count > 2")
-    rows = few.orderBy(F.desc("count"), "sig").limit(ORDER_KEPT).collect()
+    """Parities shown three times or more by a sample of about ORDER_ROWS rows; they only come last in the order."""
+    share = ORDER_ROWS / max(1, docs.count())
+    few = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = _signatures(_classes(few, np.empty(0, np.uint64))).groupBy("sig").count().where("count > 2").orderBy(F.desc("count"), "sig").limit(ORDER_KEPT).collect()
     return np.sort(np.array([r["sig"] for r in rows], np.int64).view(np.uint64))
 
 
+def _labelled(frame: DataFrame, found: DataFrame, col: str, out: str) -> DataFrame:
+    return frame.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
+
+
+def _mixed_members(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """sig, id, c: members, but for the pivot, of the groups that still hold several components; one group of each set of members."""
+    members = written(_labelled(shared.select("sig", F.col("node").alias("id")), found, "id", "c"), "join-labelled")
+    prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
+    mixed = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k"), *prints).where("x < y")
+    one = mixed.groupBy("k", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
+    return members.join(one, "sig", "left_semi")
+
+
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles`` long and ``component_id`` long of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    classes = written(_classes(docs), "join-classes")
-    shared = written(_groups(_signatures(docs, _frequent(docs))), "join-groups")
-    pairs = written(shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "join-pairs")
+    classes = written(_classes(docs, _frequent(docs)), "join-classes")
+    shared = written(_groups(_signatures(classes)), "join-groups")
+    pairs = shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = classes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("d1", "d2", "a")
     same = classes.where("n > 0").join(first, ["d1", "d2"]).where("id > a").select("a", F.col("id").alias("b"))
     likely = written(_plausible(classes, pairs).distinct(), "join-likely")
     links = written(same.union(_verified(docs, likely)), "join-links")
     found = connected_components(links)
-
-    def labelled(frame: DataFrame, col: str, out: str) -> DataFrame:
-        return frame.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-
-    apart = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-    large = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig")  # a pivot and two more
-    mixed = shared.join(apart, ["pivot", "node"], "left_semi").select("sig").distinct().join(large, "sig", "left_semi")
-    groups = written(shared.join(mixed, "sig", "left_semi").select("sig", "node"), "join-mixed")
-    if groups.limit(1).count():
-        members = written(labelled(groups.withColumnRenamed("node", "id"), "id", "c"), "join-members")
-        more = written(_cross_pairs(classes, members), "join-likely")
-        links = written(_verified(docs, more), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
-        found = connected_components(links)
-    return labelled(classes, "id", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast("long"))
+    for nearest in (True, False):
+        members = written(_mixed_members(shared, found), "join-members")
+        more = written(_cross_pairs(classes, members, nearest).join(likely, ["a", "b"], "left_anti"), "join-likely")
+        if more.limit(1).count():
+            links = written(_verified(docs, more), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
+            found = connected_components(links)
+            likely = likely.union(more)
+    return _labelled(classes, found, "id", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast("long"))
