@@ -39,12 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks, written
+from .common import chunks, written
 from .components import connected_components
 
 WORDS = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
 #: Members of a group that are compared in one block, rows of the sample for the order, and frequent parities kept of it.
 GROUP_BLOCK, ORDER_ROWS, ORDER_KEPT = 1024, 8000, 200_000
 
@@ -61,12 +60,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_HASH.__getitem__, words), np.uint64, n)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     size = min(n, WORDS)
     h = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
         h = h * _M1 + w[k : n - size + 1 + k]
-    return np.unique(_mixed(h))
+    h = _mixed(h)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def most_apart(n: int, m: int) -> int:
@@ -103,12 +104,16 @@ def shown(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             first = np.sort(_mixed(u ^ _M2))[: n - -(-3 * n // 4) + 1]
             out += [p, _mixed(first)]
             continue
-        order = np.argsort(p)
         if len(frequent):
-            at = np.searchsorted(frequent, p).clip(max=len(frequent) - 1)
-            order = np.lexsort((p, frequent[at] == p))
-        out.append(p[order[: d + 1]])
-    return np.unique(np.concatenate(out))
+            often = frequent[np.searchsorted(frequent, p).clip(max=len(frequent) - 1)] == p
+            rare = p[~often]
+            if len(rare) <= d:
+                out.append(rare)
+                p, d = p[often], d - len(rare)
+            else:
+                p = rare
+        out.append(np.partition(p, d)[: d + 1])
+    return np.concatenate(out)
 
 
 def bit_sketch(u: np.ndarray) -> np.ndarray:
@@ -293,7 +298,10 @@ def cross_pairs(held: list[tuple], between: bool, nearest: bool = False) -> set[
 
 
 def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
-    """``cross_pairs`` of the members (sig, id, c) of each group; large groups are dealt to cells, and pairs of cells to tasks."""
+    """``cross_pairs`` of the members (sig, id, c) of each group; large groups are dealt to cells, and pairs of cells to tasks.
+
+    Rows (sig, a, b); a group whose pairs have all come out before has one row without a pair.
+    """
     sized = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("k"))
     dealt = members.join(sized, "sig").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     cells = dealt.select("sig", "id", "c", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
@@ -304,15 +312,15 @@ def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataF
         key, held, sent = None, [], set()
 
         def pairs():
-            if len({h[1] for h in held}) < 2:
-                return _batch("a b", [pa.int64()] * 2, [])
-            if len(sent) > 1_000_000:
+            if len({h[1] for h in held}) < 2 or not (found := cross_pairs(held, key[1] != key[2], nearest)):
+                return _batch("sig a b", [pa.int64()] * 3, [])
+            if len(sent) > 100_000:
                 sent.clear()
-            new = cross_pairs(held, key[1] != key[2], nearest) - sent
-            sent.update(new)
-            return _batch("a b", [pa.int64()] * 2, sorted(new))
+            new = sorted(found - sent) or [(None, None)]
+            sent.update(found)
+            return _batch("sig a b", [pa.int64()] * 3, [(key[0], *x) for x in new])
 
-        for batch in batches:
+        for batch in chunks(batches, 2000):
             for *k, doc, c, cell, n, sketch in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k != key:
                     if held:
@@ -322,7 +330,7 @@ def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataF
         if held:
             yield pairs()
 
-    return full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "sig long, a long, b long")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -338,8 +346,8 @@ def _labelled(frame: DataFrame, found: DataFrame, col: str, out: str) -> DataFra
 
 
 def _mixed_members(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """sig, id, c: members, but for the pivot, of the groups that still hold several components; one group of each set of members."""
-    members = written(_labelled(shared.select("sig", F.col("node").alias("id")), found, "id", "c"), "join-labelled")
+    """sig, id, c: members (sig, id) of the groups that hold several components; one group of each set of members."""
+    members = written(_labelled(shared, found, "id", "c"), "join-labelled")
     prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
     mixed = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k"), *prints).where("x < y")
     one = mixed.groupBy("k", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
@@ -357,11 +365,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     likely = written(_plausible(classes, pairs).distinct(), "join-likely")
     links = written(same.union(_verified(docs, likely)), "join-links")
     found = connected_components(links)
+    groups = shared.select("sig", F.col("node").alias("id"))  # the pivot has been compared with all
     for nearest in (True, False):
-        members = written(_mixed_members(shared, found), "join-members")
-        more = written(_cross_pairs(classes, members, nearest).join(likely, ["a", "b"], "left_anti"), "join-likely")
+        members = written(_mixed_members(groups, found), "join-members")
+        crossed = written(_cross_pairs(classes, members, nearest), "join-crossed")
+        more = written(crossed.where("a is not null").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "join-likely")
         if more.limit(1).count():
             links = written(_verified(docs, more), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
             found = connected_components(links)
             likely = likely.union(more)
+        groups = members.join(crossed.select("sig").distinct(), "sig", "left_semi").select("sig", "id")
     return _labelled(classes, found, "id", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast("long"))
