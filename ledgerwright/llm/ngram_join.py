@@ -32,6 +32,7 @@ carried; an empty table gives no rows.
 from __future__ import annotations
 
 import struct
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ from .components import connected_components
 
 WORDS = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-#: Members of a group that are compared in one block, rows of the sample for the order, and frequent parities kept of it.
-GROUP_BLOCK, ORDER_ROWS, ORDER_KEPT = 1024, 8000, 200_000
+#: Members of a group that are compared in one block, share of rows that are sampled for the order, and frequent parities kept of it.
+GROUP_BLOCK, ORDER_SHARE, ORDER_KEPT = 1024, 0.12, 200_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -267,6 +268,7 @@ def cross_pairs(held: list[tuple], between: bool, nearest: bool = False) -> set[
     the smallest distance.
     """
     best: dict[int, tuple] = {}
+    most = max(Counter(h[1] for h in held).items(), key=lambda x: (x[1], -x[0]))[0] if nearest else None
     out: set[tuple[int, int]] = set()
     by_size: dict[int, list[tuple]] = {}
     for h in held:
@@ -294,7 +296,9 @@ def cross_pairs(held: list[tuple], between: bool, nearest: bool = False) -> set[
                         for x, d in zip(ids2[at].tolist(), apart.tolist(), strict=True):
                             if d < best.get(x, (1 << 60, 0))[0]:
                                 best[x] = (d, int(ids[r]))
-    return out | {(min(x, y), max(x, y)) for x, (_, y) in best.items()}
+    if nearest:  # the largest component waits for the others to choose
+        out = {(min(h[0], best[h[0]][1]), max(h[0], best[h[0]][1])) for h in held if h[1] != most and h[0] in best}
+    return out
 
 
 def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
@@ -334,9 +338,8 @@ def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataF
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Parities shown three times or more by a sample of about ORDER_ROWS rows; they only come last in the order."""
-    share = ORDER_ROWS / max(1, docs.count())
-    few = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Parities shown three times or more by a sample of ORDER_SHARE of the rows; they only come last in the order."""
+    few = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(ORDER_SHARE * 1_000_000))
     rows = _signatures(_classes(few, np.empty(0, np.uint64))).groupBy("sig").count().where("count > 2").orderBy(F.desc("count"), "sig").limit(ORDER_KEPT).collect()
     return np.sort(np.array([r["sig"] for r in rows], np.int64).view(np.uint64))
 
