@@ -37,7 +37,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, written
@@ -118,8 +118,9 @@ def shown(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(u: np.ndarray) -> np.ndarray:
-    """XOR of one bit per shingle; twice as many bits as the set's size rounded up to a power of four."""
-    bits = max(64, 2 * 4 ** (_band(max(1, len(u))) + 1))
+    """XOR of one bit per shingle; two bits (four below 256 shingles) for each of the set's size rounded up to a power of four."""
+    band = _band(max(1, len(u)))
+    bits = max(64, (4 if band <= 3 else 2) * 4 ** (band + 1))
     ones = np.bincount((_mixed(u ^ _M3) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8))
 
@@ -302,15 +303,15 @@ def cross_pairs(held: list[tuple], between: bool, nearest: bool = False) -> set[
 
 
 def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
-    """``cross_pairs`` of the members (sig, id, c) of each group; large groups are dealt to cells, and pairs of cells to tasks.
+    """``cross_pairs`` of the members (sig, id, c, n) of each group; large groups are dealt to cells, and pairs of cells to tasks.
 
     Rows (sig, a, b); a group whose pairs have all come out before has one row without a pair.
     """
     sized = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).cast("int").alias("k"))
     dealt = members.join(sized, "sig").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    cells = dealt.select("sig", "id", "c", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    cells = cells.select("sig", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "id", "c", "cell")
-    full = cells.join(classes.select("id", "n", "sketch"), "id").select("sig", "x", "y", "id", "c", "cell", "n", "sketch")
+    cells = dealt.select("sig", "id", "c", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cells = cells.select("sig", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "id", "c", "n", "cell")
+    full = cells.join(classes.where("n > 0").select("id", "n", "sketch").distinct(), ["id", "n"]).select("sig", "x", "y", "id", "c", "cell", "n", "sketch")
 
     def run(batches):
         key, held, sent = None, [], set()
@@ -348,9 +349,15 @@ def _labelled(frame: DataFrame, found: DataFrame, col: str, out: str) -> DataFra
     return frame.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
 
-def _mixed_members(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """sig, id, c: members (sig, id) of the groups that hold several components; one group of each set of members."""
-    members = written(_labelled(shared, found, "id", "c"), "join-labelled")
+def _mixed_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sig, id, c, n: members (sig, id) of the groups that hold several components, where a neighbour by size is near enough.
+
+    ``nodes`` has id, n, c. Of groups with the same members one is kept.
+    """
+    by_size = Window.partitionBy("sig").orderBy("n")
+    near = (4 * F.lag("n").over(by_size) >= 3 * F.col("n")) | (4 * F.col("n") >= 3 * F.lead("n").over(by_size))
+    members = groups.join(nodes, "id").select("sig", "id", "c", "n", F.coalesce(near, F.lit(False)).alias("near")).where("near").drop("near")
+    members = written(members, "join-labelled")
     prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
     mixed = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k"), *prints).where("x < y")
     one = mixed.groupBy("k", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
@@ -370,7 +377,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = connected_components(links)
     groups = shared.select("sig", F.col("node").alias("id"))  # the pivot has been compared with all
     for nearest in (True, False):
-        members = written(_mixed_members(groups, found), "join-members")
+        nodes = _labelled(classes.where("n > 0").select("id", "n").distinct(), found, "id", "c")
+        members = written(_mixed_members(groups, nodes), "join-members")
         crossed = written(_cross_pairs(classes, members, nearest), "join-crossed")
         more = written(crossed.where("a is not null").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "join-likely")
         if more.limit(1).count():
