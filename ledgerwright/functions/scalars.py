@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # GB 32100 characters and weights, province codes, Chinese numerals.
 USCC_CHARS = "0123456789ABCDEFGHJKLMNPQRTUWXY"
@@ -30,7 +31,7 @@ def lines(text: Column) -> Column:
     return F.filter(trimmed, lambda x: x != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_text(text):
     """NFKC with unified line ends; Spark has no native normalisation."""
     import unicodedata
@@ -40,7 +41,7 @@ def norm_text(text):
 
 def to_money(text: Column) -> Column:
     """Null where the text is no number."""
-    return F.expr("null").cast(MONEY) if text is None else F.regexp_replace(text, r"[,，¥￥\s]", "").try_cast(MONEY)
+    return F.regexp_replace(text, r"[,，¥￥\s]", "").try_cast(MONEY)
 
 
 def to_date(text: Column) -> tuple[Column, Column]:
@@ -177,7 +178,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a, b):
     """The larger of character Jaccard and the ratio of matching blocks; the latter has no native form."""
     from difflib import SequenceMatcher

@@ -185,7 +185,7 @@ def q_ledger_merge(spark, sf):
 
 
 def q_review_list(spark, sf):
-    low = judged(spark, sf).withColumn("status", F.when(F.col("l_linenumber") == 7, "待复核").otherwise(F.col("status")))
+    low = invoices(spark, sf).withColumn("status", F.when(F.col("l_linenumber") == 7, "待复核").otherwise("正常"))
     return L.review_list(low).groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
