@@ -71,20 +71,24 @@ def exact_split() -> regex.Pattern:
     return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{digit}+| ?{rest}+|\s+(?!\S)|\s+", regex.V1)
 
 
+def read_vocabulary(path: str) -> tuple[dict[str, int], dict[str, bytes], list[tuple[str, str]], dict[str, int]]:
+    """Ids by token, bytes by token, merges in order, and special tokens with their ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, letters = spec["model"]["vocab"], byte_letters()
+    raw = {t: bytes(letters[c] for c in t) for t in vocab if all(c in letters for c in t)}
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+    return vocab, raw, merges, {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+
+
 class BpeAutomaton:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        letters = byte_letters()
-        raw = {t: bytes(letters[c] for c in t) for t in vocab if all(c in letters for c in t)}
+        vocab, raw, merges, self.special = read_vocabulary(path)
         self.labels = {vocab[t]: b for t, b in raw.items()}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.labels.update({i: t.encode() for t, i in self.special.items()})
         self._gadgets: dict[int, dict[int, int]] = {}
         self._made: dict[int, tuple[int, int, int]] = {}
-        for rank, rule in enumerate(merges):
-            u, v = rule.split(" ") if isinstance(rule, str) else rule
+        for rank, (u, v) in enumerate(merges):
             self._add_gadget(vocab[u], vocab[v], vocab[u + v], rank)
         self._scan = ahocorasick.Automaton()
         for t, b in raw.items():
@@ -178,11 +182,11 @@ class RankEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        self.path, bpe = path, BpeAutomaton(path)
-        made = sorted((rank, token) for token, (_, _, rank) in bpe._made.items())
-        rising = all(x[1] < y[1] for x, y in zip(made, made[1:], strict=False))
-        ranks = {b: i for i, b in bpe.labels.items() if i not in bpe.special.values()}
-        self._special = tuple(bpe.special)
+        vocab, raw, merges, special = read_vocabulary(path)
+        made = [vocab[u + v] for u, v in merges]
+        rising = all(x < y for x, y in zip(made, made[1:], strict=False))
+        ranks = {b: vocab[t] for t, b in raw.items() if t not in special}
+        self.path, self._special = path, tuple(special)
         self._fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if rising else None
         self._runs = regex.compile(r"\s{1000}")
 
