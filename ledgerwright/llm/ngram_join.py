@@ -19,8 +19,8 @@ lower bound of the difference, is over D: first each with its nearest, which joi
 of what belongs together, then, over the components left, all. Every link is verified on
 the whole sets.
 
-Equal sets are one class: one member shows blocks for each input task, the others join
-by the set's 128-bit hash.
+Equal sets are one class, known by the set's 128-bit hash: one member shows blocks for
+each input task, and the smallest id stands for all in pairs, groups and sketches.
 
 Cases: null and empty texts, and texts of white space, have empty sets and are linked
 with nothing; texts of one to four words have one shingle; rows with a null id come
@@ -226,11 +226,14 @@ def _near(a: bytes, n: int, b: bytes, m: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) <= most_apart(n, m)
 
 
-def _plausible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bit sketches don't exclude."""
+def _plausible(reps: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class representatives that sizes and bit sketches don't exclude; sizes come first, they are narrow."""
+
+    def sized(x):
+        return reps.select(F.col("id").alias(x), F.struct(F.col("rep").alias("id"), "n").alias(f"s{x}"))
 
     def side(x):
-        return classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def run(batches):
         for batch in chunks(batches, 5000):
@@ -238,8 +241,11 @@ def _plausible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = [_near(*v) for v in zip(x, n, y, m, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sized = pairs.join(side("b"), "b").join(side("a"), "a").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    fitting = pairs.join(sized("b"), "b").join(sized("a"), "a").where("sa.id <> sb.id and 4 * least(sa.n, sb.n) >= 3 * greatest(sa.n, sb.n)")
+    fitting = fitting.select(F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"))
+    fitting = fitting.select(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")).distinct()
+    drawn = fitting.join(side("b"), ["b", "nb"]).join(side("a"), ["a", "na"])
+    return drawn.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -302,7 +308,7 @@ def cross_pairs(held: list[tuple], between: bool, nearest: bool = False) -> set[
     return out
 
 
-def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
+def _cross_pairs(sketches: DataFrame, members: DataFrame, nearest: bool) -> DataFrame:
     """``cross_pairs`` of the members (sig, id, c, n) of each group; large groups are dealt to cells, and pairs of cells to tasks.
 
     Rows (sig, a, b); a group whose pairs have all come out before has one row without a pair.
@@ -311,7 +317,7 @@ def _cross_pairs(classes: DataFrame, members: DataFrame, nearest: bool) -> DataF
     dealt = members.join(sized, "sig").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     cells = dealt.select("sig", "id", "c", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     cells = cells.select("sig", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "id", "c", "n", "cell")
-    full = cells.join(classes.where("n > 0").select("id", "n", "sketch").distinct(), ["id", "n"]).select("sig", "x", "y", "id", "c", "cell", "n", "sketch")
+    full = cells.join(sketches.select("id", "n", "sketch"), ["id", "n"]).select("sig", "x", "y", "id", "c", "cell", "n", "sketch")
 
     def run(batches):
         key, held, sent = None, [], set()
@@ -352,11 +358,13 @@ def _labelled(frame: DataFrame, found: DataFrame, col: str, out: str) -> DataFra
 def _mixed_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """sig, id, c, n: members (sig, id) of the groups that hold several components, where a neighbour by size is near enough.
 
-    ``nodes`` has id, n, c. Of groups with the same members one is kept.
+    ``nodes`` has id, n, rep, c; the representative of a class stands for its members. Of
+    groups with the same members one is kept.
     """
     by_size = Window.partitionBy("sig").orderBy("n")
     near = (4 * F.lag("n").over(by_size) >= 3 * F.col("n")) | (4 * F.col("n") >= 3 * F.lead("n").over(by_size))
-    members = groups.join(nodes, "id").select("sig", "id", "c", "n", F.coalesce(near, F.lit(False)).alias("near")).where("near").drop("near")
+    members = groups.join(nodes, "id").select("sig", F.col("rep").alias("id"), "c", "n").repartition("sig").distinct()
+    members = members.select("sig", "id", "c", "n", F.coalesce(near, F.lit(False)).alias("near")).where("near").drop("near")
     members = written(members, "join-labelled")
     prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
     mixed = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k"), *prints).where("x < y")
@@ -370,16 +378,19 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(_classes(docs, _frequent(docs)), "join-classes")
     shared = written(_groups(_signatures(classes)), "join-groups")
     pairs = shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = classes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("d1", "d2", "a")
-    same = classes.where("n > 0").join(first, ["d1", "d2"]).where("id > a").select("a", F.col("id").alias("b"))
-    likely = written(_plausible(classes, pairs).distinct(), "join-likely")
+    filled = classes.where("n > 0 and id is not null")
+    sketches = written(filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "join-sketches")
+    reps = filled.select("id", "n", "d1", "d2").join(sketches.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"])
+    reps = written(reps.select("id", "n", "rep").distinct(), "join-reps")
+    same = reps.where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    likely = written(_plausible(reps, sketches, pairs).distinct(), "join-likely")
     links = written(same.union(_verified(docs, likely)), "join-links")
     found = connected_components(links)
     groups = shared.select("sig", F.col("node").alias("id"))  # the pivot has been compared with all
     for nearest in (True, False):
-        nodes = _labelled(classes.where("n > 0").select("id", "n").distinct(), found, "id", "c")
+        nodes = _labelled(reps, found, "id", "c")
         members = written(_mixed_members(groups, nodes), "join-members")
-        crossed = written(_cross_pairs(classes, members, nearest), "join-crossed")
+        crossed = written(_cross_pairs(sketches, members, nearest), "join-crossed")
         more = written(crossed.where("a is not null").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "join-likely")
         if more.limit(1).count():
             links = written(_verified(docs, more), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
