@@ -140,7 +140,7 @@ def q_invoice_dedupe(spark, sf):
 
 
 def q_text_quality(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", (S.text_quality(F.col("text")) * 1000).cast("int").alias("permille"))
+    return t(spark, sf, "documents").select("doc_id", F.round(S.text_quality(F.col("text")) * 1000).cast("int").alias("permille"))
 
 
 def _rendered(spark, sf):
@@ -216,14 +216,13 @@ def q_jaccard(spark, sf):
 
 
 def q_segments(spark, sf):
-    """Three rendered invoices of an order in one text, split again."""
-    some = _rendered(spark, sf).where("l_linenumber <= 3")
-    files = some.groupBy("file_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "invoice_no", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n"))
+    """The rendered invoices of each order in one text, split again."""
+    files = _rendered(spark, sf).groupBy("file_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "invoice_no", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n"))
     return G.split_segments(files).groupBy("n", "segments").agg(F.countDistinct("file_name").alias("n_files"))
 
 
 def q_detail_csv(spark, sf):
-    return K.csv_lines(judged(spark, sf).drop("confidence").orderBy("invoice_no", *TIES[2:]).limit(100).drop("l_tax"))
+    return K.csv_lines(judged(spark, sf).drop("confidence"))
 
 
 def q_registry(spark, sf):
@@ -235,7 +234,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: f for k,
 _CHAR = "substr('0123456789ABCDEFGHJKLMNPQRTUWXY', {0}, 1)"
 _AT = " + ".join(f"(instr('0123456789ABCDEFGHJKLMNPQRTUWXY', substr(body, {i + 1}, 1)) - 1) * {w}" for i, w in enumerate(S.USCC_WEIGHTS))
 
+#: The issues that the made invoices have, one flag each: balance, date, seller's check digit, province, rate.
+_FLAGS = f"""{_CENTS},
+f AS (SELECT l_orderkey % 97 = 0 AS gap, o_orderdate::DATE < DATE '2000-01-01' AS early, l_suppkey % 11 = 0 AS digit,
+  lpad((l_suppkey % 70 + 10)::VARCHAR, 2, '0') NOT IN ({", ".join(f"'{x}'" for x in sorted(R.PROVINCES))}) AS place, rate_pct IN (2, 4, 7, 8) AS rate
+  FROM i JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_ISSUES = {"gap": ("严重", "金额勾稽"), "early": ("警告", "开票日期"), "digit": ("警告", "销售方税号"), "place": ("警告", "发票号码"), "rate": ("提示", "税率")}
+_COUNTED = " UNION ALL ".join(f"SELECT '{level}' AS level, '{field}' AS field, count(*) AS n_issues FROM f WHERE {flag} HAVING count(*) > 0" for flag, (level, field) in _ISSUES.items())
+
+_SHARE = "(length(t) - length(regexp_replace(t, '{}', '', 'g'))) / length(t)::DOUBLE"
+_FOUND = " + ".join(f"contains(t, '{x}')::INTEGER" for x in S.LABELS)
+_QUALITY = f"""0.35::DOUBLE * least(length(t) / 200.0::DOUBLE, 1.0::DOUBLE) + 0.25::DOUBLE * (1 - {_SHARE.format(r"[\x00-\x08\x0B-\x1F\x7F]")})
+ + 0.40::DOUBLE * least({_SHARE.format(r"[\x{4e00}-\x{9fff}0-9]")} / 0.35::DOUBLE, 1.0::DOUBLE) - least(1.5::DOUBLE * {_SHARE.format(r"[|~^`_{}\[\]<>\\]")}, 0.25::DOUBLE)
+ - CASE WHEN regexp_matches(t, '[�□]') THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN {_FOUND} < 2 THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END"""
+
 ORACLES: dict[str, str] = {
+    "issue_counts": f"WITH {_FLAGS} SELECT * FROM ({_COUNTED})",
+    "status_histogram": f"WITH {_FLAGS} SELECT CASE WHEN gap THEN '异常' WHEN early OR digit OR place OR rate THEN '存在提示' ELSE '正常' END AS status, count(*) AS n_rows FROM f GROUP BY 1",
+    "text_quality": f"WITH x AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents) SELECT doc_id, round(1000 * CASE WHEN t = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_QUALITY})) END)::INTEGER AS permille FROM x",
     "invoice_balance": f"WITH {_CENTS} SELECT l_suppkey, count(*) AS n_rows, sum(amount_c + tax_c - total_c)::BIGINT AS gap_c FROM i WHERE abs(amount_c + tax_c - total_c) > 2 GROUP BY 1",
     "rate_check": f"WITH {_CENTS} SELECT rate_pct, count(*) FILTER (abs(100 * tax_c - amount_c * greatest(rate_pct - 3, 0)) > greatest(500, 2 * amount_c)) AS n_bad, count(*) AS n_rows FROM i GROUP BY 1",
     "seller_summary": f"WITH {_CENTS} SELECT s_name AS seller_name, count(*) AS n_rows, CAST(sum(amount_c)::DECIMAL(28,0) / 100 AS DECIMAL(28,2)) AS amount_sum, CAST(sum(tax_c)::DECIMAL(28,0) / 100 AS DECIMAL(28,2)) AS tax_sum, CAST(sum(total_c)::DECIMAL(28,0) / 100 AS DECIMAL(28,2)) AS total_sum FROM i JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
@@ -255,5 +271,5 @@ ORACLES: dict[str, str] = {
     "cn_amount": "SELECT words, count(*) AS n_rows, list_extract([1060.00, 318.50, 120000000.00, 10.03, NULL, 98765.43], k)::DECIMAL(18,2) AS amount FROM (SELECT (o_orderkey % 6 + 1)::INTEGER AS k, list_extract(['壹仟零陆拾圆整', '叁佰壹拾捌元伍角', '一亿二千万元', '拾元零叁分', '整', '玖万捌仟柒佰陆拾伍元肆角叁分'], (o_orderkey % 6 + 1)::INTEGER) AS words FROM orders) GROUP BY words, k",
     "jaccard": "WITH x AS (SELECT c_custkey, list_distinct(string_split(c_name, '')) AS a, list_distinct(string_split(c_mktsegment, '')) AS b FROM customer) SELECT c_custkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) * 1000)::INTEGER AS permille FROM x",
     "field_extract": "WITH n AS (SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey) SELECT field, n AS n_rows, n AS n_equal FROM n, (VALUES ('invoice_no'), ('issue_date'), ('buyer_name'), ('buyer_tax'), ('seller_name'), ('seller_tax'), ('amount'), ('tax'), ('total'), ('tax_rate'), ('drawer')) f(field)",
-    "segments": "WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 3 GROUP BY 1) SELECT n, n::INTEGER AS segments, count(*) AS n_files FROM f GROUP BY n",
+    "segments": "WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) SELECT n, n::INTEGER AS segments, count(*) AS n_files FROM f GROUP BY n",
 }
