@@ -17,6 +17,7 @@ from ..operators import ledger as L
 from ..operators import rules as R
 from ..operators import scoring as C
 from ..operators import segments as G
+from ..operators import views as V
 from ..streaming import watch as W
 from . import sinks as K
 
@@ -225,6 +226,13 @@ def q_detail_csv(spark, sf):
     return K.csv_lines(judged(spark, sf).drop("confidence"))
 
 
+def q_view_choice(spark, sf):
+    """Conversations as files, their turns as views, those of the assistant as recognised texts."""
+    turns = t(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", "ocr").otherwise("layer").alias("source"), "text")
+    picked = V.choose_view(turns, "conv_id", "turn")
+    return picked.select("conv_id", "choice", F.sha2("text", 256).alias("text_sha256"), F.round(F.col("quality") * 1000).cast("int").alias("permille"))
+
+
 def q_registry(spark, sf):
     return R.registry(spark).select("rule_id", "level")
 
@@ -251,6 +259,12 @@ _QUALITY = f"""0.35::DOUBLE * least(length(t) / 200.0::DOUBLE, 1.0::DOUBLE) + 0.
 ORACLES: dict[str, str] = {
     "issue_counts": f"WITH {_FLAGS} SELECT * FROM ({_COUNTED})",
     "status_histogram": f"WITH {_FLAGS} SELECT CASE WHEN gap THEN '异常' WHEN early OR digit OR place OR rate THEN '存在提示' ELSE '正常' END AS status, count(*) AS n_rows FROM f GROUP BY 1",
+    "view_choice": f"""WITH x AS (SELECT conv_id, turn, coalesce(role, '') = 'assistant' AS o, coalesce(text, '') AS raw, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM conversations),
+ s AS (SELECT *, length(t) AS n, round(CASE WHEN t = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_QUALITY})) END, 3) AS q FROM x),
+ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, o ORDER BY q DESC, turn, raw DESC) AS r FROM s),
+ c AS (SELECT conv_id, l.n >= 20 AS thick, l.raw AS lr, l.q AS lq, a.raw AS ar, a.q AS aq FROM (SELECT * FROM k WHERE r = 1 AND NOT o) l FULL JOIN (SELECT * FROM k WHERE r = 1 AND o) a USING (conv_id)),
+ d AS (SELECT *, CASE WHEN thick AND lq >= 0.55 THEN 'accepted' WHEN ar IS NOT NULL AND (NOT coalesce(thick, false) OR aq > lq) THEN 'ocr' WHEN thick THEN 'kept' ELSE 'manual' END AS choice FROM c)
+ SELECT conv_id, choice, CASE choice WHEN 'ocr' THEN sha256(ar) WHEN 'manual' THEN NULL ELSE sha256(lr) END AS text_sha256, (1000 * CASE choice WHEN 'ocr' THEN aq WHEN 'manual' THEN NULL ELSE lq END)::INTEGER AS permille FROM d""",
     "text_quality": f"WITH x AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents) SELECT doc_id, round(1000 * CASE WHEN t = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_QUALITY})) END)::INTEGER AS permille FROM x",
     "invoice_balance": f"WITH {_CENTS} SELECT l_suppkey, count(*) AS n_rows, sum(amount_c + tax_c - total_c)::BIGINT AS gap_c FROM i WHERE abs(amount_c + tax_c - total_c) > 2 GROUP BY 1",
     "rate_check": f"WITH {_CENTS} SELECT rate_pct, count(*) FILTER (abs(100 * tax_c - amount_c * greatest(rate_pct - 3, 0)) > greatest(500, 2 * amount_c)) AS n_bad, count(*) AS n_rows FROM i GROUP BY 1",

@@ -11,6 +11,7 @@ from ledgerwright.operators import ledger as L
 from ledgerwright.operators import rules as R
 from ledgerwright.operators import scoring as C
 from ledgerwright.operators import segments as G
+from ledgerwright.operators import views as V
 from ledgerwright.plans import sinks as K
 from ledgerwright.sources import files as FS
 from ledgerwright.sources.pdf import extract_text
@@ -176,3 +177,19 @@ def test_report_and_csv(spark, tmp_path):
 def test_entry_contract():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 25
+
+
+def test_view_choice(spark):
+    noise = "~~~~ ^^^^ |||| ~~~~ ^^^^ ||||"
+    rows = [
+        ("good", 0, "stdlib", noise), ("good", 1, "stdlib", GOOD), ("good", 2, "pymupdf", GOOD + " "),
+        ("worse", 0, "stdlib", noise), ("worse", 1, "ocr(x)", GOOD),
+        ("kept", 0, "stdlib", noise), ("kept", 1, "ocr(x)", None),
+        ("scan", 0, "ocr(x)", "短"), ("short", 0, "stdlib", "短"), ("empty", 0, None, None),
+    ]
+    df = spark.createDataFrame(rows, "file_name string, view int, source string, text string")
+    got = {r["file_name"]: (r["choice"], r["source"]) for r in V.choose_view(df).collect()}
+    assert got == {"good": ("accepted", "pymupdf"), "worse": ("ocr", "ocr(x)"), "kept": ("kept", "stdlib"), "scan": ("ocr", "ocr(x)"), "short": ("manual", None), "empty": ("manual", None)}
+    assert V.choose_view(df.limit(0)).collect() == []
+    again = df.union(spark.createDataFrame([("good", 5, "stdlib", GOOD)], df.schema))
+    assert sorted(map(tuple, V.distinct_views(again).collect()), key=str) == sorted(rows, key=str)
