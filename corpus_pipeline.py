@@ -34,11 +34,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of linked documents stays; rows without an id stay."""
+    """The smallest id of each group of linked documents stays; rows without an id stay.
+
+    A shared line whose keeper goes moves to the largest holder that stays, or to the end of
+    the document that stands for the keeper's group where no holder stays.
+    """
+    raw = table(spark, sf_dir, "documents")
     found = written(ngram_join.ngram_components(docs), "stage-components")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    moves = written(line_dedup.orphaned_lines(raw, found), "stage-moves")
+    return _measured(line_dedup.move_lines(docs.join(side, "doc_id", "left_anti"), moves, raw), docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

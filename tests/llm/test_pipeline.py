@@ -1,8 +1,10 @@
 """The pipeline against a brute-force version on a small part of a fixture of its own."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
+from ledgerwright.llm import line_dedup
 from pyspark.sql import functions as F
 
 from .test_operators import brute_components, brute_lines, brute_rules, check_pieces
@@ -43,3 +45,35 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_pieces(packed, None, 2048)
     assert {r.doc_id for r in packed} == keep
+
+
+def test_shared_lines_survive_the_join(spark, tmp_path):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 8))) for _ in range(3000)]
+    line = lambda n=14: " ".join(rnd.choices(words, k=n))
+    body = lambda: [line() for _ in range(8)]
+    held, alone = line(8), line(8)
+    bodies = [body() for _ in range(4)]
+    texts = {i: [*b, line(3)] for i, b in enumerate(bodies)} | {20 + i: [*b, alone, line(3)] for i, b in enumerate(bodies[:3])}
+    texts |= {10: [*body()[:4], held, *body()[:4]], 11: [held.upper() + " ", *body()], 30: [*bodies[3], held, line(3)]}
+    rows = [(i, "\n".join(t), "en", "s", 0) for i, t in texts.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = corpus_pipeline.line_stage(spark, frame, str(tmp_path))
+    got = {r.doc_id: r for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    low = {d: [x.strip().lower() for x in r.text.split("\n")] for d, r in got.items()}
+    for text in (held, alone):
+        assert sum(x.count(text) for x in low.values()) == 1
+    shared = Counter(x for t in texts.values() for x in {y.strip().lower() for y in t} if len(x) >= 20)
+    assert all(any(x in t for t in low.values()) for x, n in shared.items() if n >= 3)
+    assert set(got) == {0, 1, 2, 3, 10, 11} and got[11].text == "\n".join(texts[11]) and got[2].text.endswith("\n" + alone)
+
+
+def test_lines_go_back_in_place():
+    a, b, c = "the first long shared line", "The second long shared line ", "x"
+    keys = [line_dedup.struct.unpack(">qq", line_dedup.xxhash.xxh3_128_digest(x.strip().lower().encode())) for x in (a, b)]
+    assert line_dedup.with_lines_back(c, 1, [(1, f"{a}\n{c}\n{b}", keys)]) == f"{a}\n{c}\n{b}"
+    assert line_dedup.with_lines_back("", 1, [(1, f"{a}\n{b}", keys[1:])]) == b
+    assert line_dedup.with_lines_back("other row", 1, [(1, f"{a}\n{b}", keys)]) == "other row"
+    assert line_dedup.with_lines_back(c, 1, [(2, f"{b}\n{a}\n{b}", keys), (3, a, keys)]) == f"{c}\n{b}\n{a}"
