@@ -5,7 +5,10 @@ of their own format, so equal values get equal pseudonyms in all documents:
 
 * card numbers (13 to 19 digits with a valid Luhn digit): all digits but the last are
   permuted, the last is the Luhn digit of the result; separators stay;
-* phone numbers: the ten national digits are permuted, the rest of the format stays;
+* phone numbers: the ten national digits are permuted, the rest of the format stays. They
+  are NNN-NNN-NNNN, (NNN) NNN-NNNN, both with or without a country code, and ``+``, an
+  assigned country code and its national digits, together or in groups; where fewer than
+  ten digits follow the country code, those are permuted;
 * IPv4 addresses: permuted among all 2^32;
 * social security style numbers: the nine digits;
 * ISO dates (a real day from 1900-01-01 to 2099-08-05): the 72,900 days are permuted;
@@ -28,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Formats (fixed patterns), tried in this order at each place.
+_CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-689][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[0578][0-9]|9[679][0-9])"  # country codes
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])\+?[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    rf"|(?<![0-9])\+(?:(?:[17]|44)(?:[ .-]?[0-9]){{10}}|(?![17]|44){_CODE}(?:[ .-]?[0-9]){{6,12}})(?![0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![0-9])",
@@ -112,8 +118,15 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
-    """The last ten digits; what stands before them is the country code."""
-    return let(_digits(m), lambda d: refilled(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permuted_digits(F.right(d, F.lit(10)), key, "phone", inverse))))
+    """The last ten digits, or all after the country code where fewer follow it."""
+
+    def done(d):
+        grouped = m.rlike(r"\(|^\+[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$")
+        code = F.when(m.startswith("+") & ~grouped, F.length(F.regexp_extract(d, f"^{_CODE}", 0))).otherwise(0)
+        n = F.least(F.lit(10), F.length(d) - code)
+        return refilled(m, F.concat(F.substr(d, F.lit(1), F.length(d) - n), permuted_digits(F.right(d, n), key, "phone", inverse)))
+
+    return let(_digits(m), done)
 
 
 def _ip(m: Column, key: str, inverse: bool) -> Column:
