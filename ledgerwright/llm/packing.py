@@ -4,9 +4,10 @@ Each document's ids (with the end token) give as many full windows as they fill;
 the rest is one tail shorter than a window. Tails wait in a bounded buffer. A window
 takes the longest tail, then a bitset of reachable sums over the multiset of waiting
 lengths finds the selection that comes closest to the room left, and backtracking
-over the bitset's history gives how many of each length it uses. What remains at the
-end of a partition is laid end to end and cut: full windows first, then windows whose
-lengths are powers of two, which need no padding.
+over the bitset's history gives how many of each length it uses. The tails that wait at
+the end of a partition are packed the same way down to the last two windows, which are
+laid end to end and cut: full windows first, then windows whose lengths are powers of
+two, which need no padding.
 
 There is no shuffle: a partition packs its own rows, memory is bounded by the buffer,
 and a lost task repeats with the same result because a sequence's number is the
@@ -98,8 +99,8 @@ class Packer:
         self._emit(pieces)
 
     def finish(self) -> None:
-        """Packs while the waiting tails allow close fits, then cuts the last few."""
-        while sum(k * len(v) for k, v in self.tails.items()) > 16 * self.capacity:
+        """Packs down to two windows of waiting tails, then cuts these."""
+        while sum(k * len(v) for k, v in self.tails.items()) > 2 * self.capacity:
             self._window()
         rest = [self._take(k) for k in sorted(self.tails, reverse=True) for _ in range(len(self.tails[k]))]
         total = sum(len(p[2]) for p in rest)
