@@ -5,12 +5,14 @@ import zlib
 
 import __spark_entry__
 import pytest
+from ledgerwright.config import Config, load_config
 from ledgerwright.functions import fields as P
 from ledgerwright.functions import scalars as S
 from ledgerwright.operators import ledger as L
 from ledgerwright.operators import rules as R
 from ledgerwright.operators import scoring as C
 from ledgerwright.operators import segments as G
+from ledgerwright.operators import templates as M
 from ledgerwright.operators import views as V
 from ledgerwright.plans import sinks as K
 from ledgerwright.sources import files as FS
@@ -49,10 +51,9 @@ def test_uscc(spark):
     assert one(spark, S.uscc_check(F.col("c")), c="12") is None
 
 
-def parsed(spark, text):
-    flat = text.replace("（", "(").replace("）", ")")
-    frame = P.parse_fields(spark.createDataFrame([(flat,)], "text string"))
-    return C.confidence(R.validate(frame, R.RuleConfig(as_of="2026-12-31"))).withColumn("status", C.status())
+def parsed(spark, text, cfg=Config(as_of="2026-12-31"), templates=None):
+    frame = P.parse_fields(S.normalised(spark.createDataFrame([(text,)], "text string")))
+    return C.judged(frame if templates is None else M.apply_templates(frame, templates), cfg)
 
 
 def test_ordinary_invoice(spark):
@@ -75,7 +76,7 @@ def test_rail_ticket_needs_no_seller(spark):
 
 
 def test_null_text_and_empty_table(spark):
-    r = C.confidence(R.validate(P.parse_fields(spark.createDataFrame([(None,)], "text string")))).first()
+    r = C.judged(P.parse_fields(spark.createDataFrame([(None,)], "text string"))).first()
     assert r.invoice_type == "未知类型" and r.invoice_no is None and len(r.issues) >= 4
     assert R.validate(P.parse_fields(spark.createDataFrame([], "text string"))).count() == 0
 
@@ -83,7 +84,7 @@ def test_null_text_and_empty_table(spark):
 def test_rules_can_be_switched_off(spark):
     assert len(R.RULES) == 17
     frame = P.parse_fields(spark.createDataFrame([(None,)], "text string"))
-    assert R.validate(frame, R.RuleConfig(disabled=frozenset(R.RULES))).first().issues == []
+    assert R.validate(frame, Config(rules_disabled=frozenset(R.RULES))).first().issues == []
 
 
 def test_text_quality_order(spark):
@@ -113,17 +114,26 @@ def test_issues_are_added_once_and_purged(spark):
     assert [r.file_name for r in L.purge_issues(both, spark.createDataFrame([("a",)], "file_name string")).collect()] == ["b"]
 
 
-def test_segments_split_and_merge():
+def test_segments_split_and_merge(spark):
     two = GOOD + "\n" + GOOD.replace("12345678", "87654321")
-    assert len(G.split_text(two)) == 2 and len(G.split_text(GOOD)) == 1 and G.split_text(None) == []
-    assert "\n".join(G.split_text(two)) == two
+    assert len(G.split_text(two)) == 2 and G.split_text(GOOD) == [GOOD] and G.split_text(None) == [""]
+    assert "\n".join(G.split_text(two)) == "\n".join(G.text_lines(two))
+    body = "{}\n开票日期:2026-01-01\n税额1\n"
+    for label in ("票据号码:12345678", "发票No 12345678", "[(发票号码:12345678", "电子发票(普通发票)\n发票号码:12345678"):
+        assert len(G.split_text(body.format(label) + body.format(label.replace("1234", "4321")))) == 2, label
+    no_date = "发票号码:12345678\n税额1\n发票号码:87654321\n税额2"
+    assert G.split_text(no_date) == [no_date]
+    mention = body.format("电子发票\n发票号码:12345678") + "备注:原发票号码 87654321 已作废"
+    assert G.split_text(mention) == [mention]
+    frame = spark.createDataFrame([("a", two), ("b", GOOD), ("c", None)], "file_name string, text string")
+    assert sorted((r.file_name, r.segment, r.segments) for r in G.split_segments(frame).collect()) == [("a", 1, 2), ("a", 2, 2), ("b", 1, 1), ("c", 1, 1)]
 
 
 def test_summary_limits(spark):
     issues = [{"level": "提示" if k else "严重", "field": "f", "message": str(k), "suggest": ""} for k in range(8)]
     frame = spark.createDataFrame([(issues,)], "issues array<struct<level:string,field:string,message:string,suggest:string>>")
     text = frame.select(C.summary().alias("s")).first().s
-    assert text.startswith("[严重] f: 0； ") and text.endswith("……等共 8 条，详见「异常记录」")
+    assert text.startswith("[严重] f: 0； ") and text.endswith("另有 2 条，见异常记录")
 
 
 def test_csv_cells(spark):
@@ -146,13 +156,24 @@ def test_sources_config_templates(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(b"x")
     got = FS.read_files(spark, str(tmp_path / "in")).select("file_name", "file_hash").collect()
     assert sorted(r.file_name for r in got) == ["a.pdf", "d.PNG"] and len({r.file_hash for r in got}) == 1
-    (tmp_path / "c.json").write_text(json.dumps({"balance_tolerance": 0.5, "disabled": ["R01"]}))
-    cfg = FS.load_config(str(tmp_path / "c.json"), {"INVOICE_FUTURE_DATE_GRACE_DAYS": "3"})
-    assert (cfg.balance_tolerance, cfg.disabled, cfg.future_date_grace_days) == (0.5, frozenset({"R01"}), 3)
-    frame = spark.createDataFrame([("甲公司专票号码77", None), ("乙", None)], "one string, invoice_no string")
-    templates = [{"name": "t", "keywords": ["甲公司"], "fields": {"invoice_no": ["号码(\\d+)"]}}, {"name": "u", "keywords": ["甲公司"], "exclude_keywords": ["专票"]}]
-    assert [(r.invoice_no, r.template) for r in FS.apply_templates(frame, templates, "one").collect()] == [("77", "t"), (None, None)]
-    assert FS.load_templates(str(tmp_path / "none.json")) == []
+    (tmp_path / "c.json").write_text(json.dumps({"balance_tolerance": 0.5, "rules_disabled": ["R01"], "ocr_timeout": 1}))
+    cfg = load_config(str(tmp_path / "c.json"), {"INVOICE_FUTURE_DATE_GRACE_DAYS": "3", "INVOICE_FORCE": "yes", "INVOICE_MIN_TEXT_CHARS": "x"}, [("min_confidence", "0.5"), ("balance_tolerance", 9)])
+    assert (cfg.balance_tolerance, cfg.rules_disabled, cfg.future_date_grace_days, cfg.force, cfg.min_text_chars, cfg.min_confidence) == (0.5, frozenset({"R01"}), 3, True, 20, 0.5)
+    assert M.load_templates(str(tmp_path / "none.json")) == M.DEFAULT_TEMPLATES
+
+
+def test_templates(spark):
+    cols = "text string, invoice_no string, total decimal(18,2), issue_date string, seller_name string, c_invoice_no double, c_total double, c_seller_name double, evidence map<string,string>"
+    rows = [("甲公司 号码77 金额1,234.50 2026年3月7日", "1", None, None, "旧", 0.95, None, 0.85, {"invoice_no": "x"}), ("甲公司专票", None, None, None, None, None, None, None, {}), (None,) * 8 + ({},)]
+    made = [
+        {"name": "t", "keywords": ["甲公司"], "exclude_keywords": ["专票"], "fields": {"invoice_no": ["号码[0-9]+", "(", "("], "total": [r"金额([\d,.]+?)\d{4}年", r"金额([\d,]+\.\d\d)"], "issue_date": [r"(\d{4}年\d+月\d+日)"]}, "static": {"seller_name": "甲公司", "buyer_name": "x"}},
+        {"name": "u", "keywords": ["公司"]},
+    ]
+    a, b, c = M.apply_templates(spark.createDataFrame(rows, cols), made).collect()
+    assert (a.invoice_no, a.issue_date, a.seller_name, a.template) == ("号码77", "2026-03-07", "甲公司", "t") and float(a.total) == 1234.5
+    assert (a.c_invoice_no, a.c_seller_name) == (0.93, 0.9) and a.evidence["!invoice_no"] == "(" and a.evidence["invoice_no"] == "[t] 号码77"
+    assert (b.template, b.invoice_no, c.template) == ("u", None, None)
+    assert M.apply_templates(spark.createDataFrame(rows, cols), []).where("template is not null").count() == 0
 
 
 def test_settled_and_watch(spark, tmp_path):
@@ -166,12 +187,40 @@ def test_settled_and_watch(spark, tmp_path):
     assert sum(got) == 1
 
 
+def test_watch_rounds_settle_and_survive_errors(spark, tmp_path):
+    folder, states, got = tmp_path / "in", f"file://{tmp_path}/states", []
+    folder.mkdir()
+    (folder / "a.pdf").write_bytes(b"x")
+
+    def each(files, k):
+        if k == 3:
+            raise RuntimeError("broken")
+        got.append((k, sorted(r.path.rsplit("/", 1)[1] for r in files.select("path").collect())))
+
+    assert W.poll(spark, str(folder), states, 0, each) == 1  # the first round takes what is there
+    (folder / "b.pdf").write_bytes(b"y")
+    assert W.poll(spark, str(folder), states, 1, each) == 0  # not settled yet
+    assert W.poll(spark, str(folder), states, 2, each) == 1 and W.poll(spark, str(folder), states, 2, each) == 1  # again: the same
+    (folder / "b.pdf").write_bytes(b"longer")
+    (folder / "a.pdf").unlink()
+    assert [W.poll(spark, str(folder), states, k, each) for k in (3, 4)] == [0, 1]
+    assert got == [(0, ["a.pdf"]), (2, ["b.pdf"]), (2, ["b.pdf"]), (4, ["b.pdf"])]
+
+
 def test_report_and_csv(spark, tmp_path):
-    frame = parsed(spark, GOOD).withColumn("file_name", F.lit("a<b.pdf"))
+    frame = parsed(spark, GOOD).withColumn("file_name", F.lit("a<b.pdf")).withColumn("seq", F.lit(1))
     page = K.report(frame, R.issue_rows(frame, "file_name"))
-    assert "a&lt;b.pdf" in page and "10,600" not in page and "10600.00" in page
-    K.write_csv(frame, str(tmp_path / "csv"))
-    assert any('="26312000000012345678"' in r.value for r in spark.read.text(str(tmp_path / "csv")).collect())
+    assert "a&lt;b.pdf" in page and "10,600.00" in page and "台账发票行数" in page
+    K.write_csv(frame.unionByName(frame.withColumn("seq", F.lit(0))), str(tmp_path / "x.csv"))
+    raw = (tmp_path / "x.csv").read_bytes().decode()
+    assert raw.startswith("\ufeff序号,源文件名,") and raw.count("\r\n") == 3 and '="26312000000012345678"' in raw and raw.split("\r\n")[1].startswith("0,")
+    back = FS.read_ledger_csv(spark, str(tmp_path / "x.csv")).orderBy("seq").collect()
+    assert [(r.seq, r.invoice_no, float(r.total)) for r in back] == [(0, "26312000000012345678", 10600.0), (1, "26312000000012345678", 10600.0)]
+    assert abs(back[0].confidence - frame.first().confidence) < 0.001
+    K.write_xlsx(str(tmp_path / "x.xlsx"), {"发票台账": K.sheet(frame, K.COLUMNS), "空": (["a"], [])})
+    sheets = dict(FS.read_xlsx(str(tmp_path / "x.xlsx")))
+    assert sheets["空"] == [["a"]] and len(sheets["发票台账"]) == 2
+    assert FS.read_ledger_xlsx(spark, str(tmp_path / "x.xlsx"), skip=("空",)).first().invoice_no == "26312000000012345678"
 
 
 def test_entry_contract():
