@@ -91,6 +91,10 @@ class Scratch:
             self._kept.add(_left[-1][1])
         return out
 
+    def last(self) -> str:
+        """The path of the table written last."""
+        return self._mine[-1][1]
+
     def __exit__(self, *_):
         for entry in self._mine:
             if entry[1] not in self._kept:
