@@ -1,28 +1,33 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The merge list is compiled rule by rule. A state of the automaton is the token
-read last, an arc is labelled with the next token. Every merge ``(u, v)`` adds one
-gadget that removes the arcs on which ``u`` still stands at the right edge of the
-token before and ``v`` at the left edge of the token after when the merge's turn
-comes; what is left spells exactly the token sequences that BPE produces, so each
-word has one accepting path. A token's edges are its right and left spines in the
-merge tree, each with the rank of the merge that hides it. The gadgets are kept per
-rule; a row of the (50k x 50k) transition table is filled in when an arc is first
-asked for and looked up after that.
-
-Encoding finds the one path over a pre-split word: labels that end at each
-position come from an Aho-Corasick scan, and the arc table decides which of them
-extends the path that reaches its start. Decoding emits the labels of the arcs.
+The merge list is compiled, rule by rule, into a deterministic automaton over tokens. It
+starts with one state and an arc to it for every token. The gadget of merge ``(u, v)`` of
+rank r does two things: from the state that ``u`` leads to it takes the arcs on which ``v``
+is still the first piece of the label at rank r; and it gives the new token ``uv`` the state
+of ``v`` as it is then, with what has been taken from it so far (later gadgets of ``v`` don't
+reach ``uv``, since ``v`` is hidden in it). What is left accepts exactly the token sequences
+that BPE makes, so each word has one accepting path.
+
+Equal states are one. The compiled tables are arrays: for each state the first pieces that
+it has lost and from which rank on, for each token its first pieces with the rank that
+hides them, and the state that each token leads to. An arc is there unless one of the
+label's first pieces is among the lost ones in time; judged arcs are memoised.
+
+Encoding runs a pre-split word through the tables: Aho-Corasick gives the tokens that end
+at each position, and the transition from the state reached at the token's start decides
+which of them is on the path. Decoding emits the labels of the arcs.
 
 Cases: a null text counts as empty and has no tokens; special tokens of the file
 are cut out of the text first, as the library does; repeated rows are encoded one
-by one; extra columns are not carried unless named in ``keep``.
+by one; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
+from bisect import bisect_left
 from functools import lru_cache
 from itertools import chain
 
@@ -39,9 +44,9 @@ from .common import Memo, chunks
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Below it the regex module and the tokenizers library class all characters alike.
 _LATER = regex.compile("[\u0500-\U0010ffff]")
-#: Words kept in a worker's memo, and arcs kept in its transition table.
+#: Words and judged arcs kept in a worker's memo.
 MEMO_WORDS, MEMO_ARCS = 400_000, 1_000_000
-_NEVER = 1 << 40
+_NEVER = 2**31 - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,62 +86,79 @@ def read_vocabulary(path: str) -> tuple[dict[str, int], dict[str, bytes], list[t
     return vocab, raw, merges, {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
 
 
+class Tables:
+    """The automaton of a merge list (left, right and made token, in the order of ranks) over ``size`` tokens.
+
+    ``state`` of each token; ``lost`` pieces and their ``rank`` of state s at
+    ``start[s]:start[s + 1]``, sorted; first ``piece`` and rank that has it ``hidden`` of
+    token t at ``first[t]:first[t + 1]``. State 0 has lost nothing and begins a word.
+    """
+
+    def __init__(self, merges: list[tuple[int, int, int]], size: int):
+        rows: list[dict[int, int]] = [{} for _ in range(size)]
+        left: dict[int, tuple[int, int]] = {}
+        for rank, (u, v, made) in enumerate(merges):
+            if made in left:
+                raise ValueError(f"token {made} is made by two merges; the automaton needs one merge per token")
+            rows[made] = dict(rows[v])
+            rows[u][v] = rank
+            left[made] = (u, rank)
+        numbers: dict[tuple, int] = {(): 0}
+        self.state = array("i", (numbers.setdefault(tuple(sorted(row.items())), len(numbers)) for row in rows))
+        self.start, self.lost, self.rank = array("i", [0]), array("i"), array("i")
+        for row in numbers:
+            self.lost.extend(k for k, _ in row)
+            self.rank.extend(r for _, r in row)
+            self.start.append(len(self.lost))
+        self.first, self.piece, self.hidden = array("i", [0]), array("i"), array("i")
+        for token in range(size):
+            until = _NEVER
+            while True:
+                self.piece.append(token)
+                self.hidden.append(until)
+                if token not in left:
+                    break
+                token, until = left[token]
+            self.first.append(len(self.piece))
+
+    def step(self, key: int) -> int:
+        """The state that the arc from state ``key >> 20`` labelled ``key & 0xFFFFF`` leads to, -1 for no arc."""
+        state, token = key >> 20, key & 0xFFFFF
+        low, high = self.start[state], self.start[state + 1]
+        if low < high:
+            for k in range(self.first[token], self.first[token + 1]):
+                at = bisect_left(self.lost, self.piece[k], low, high)
+                if at < high and self.lost[at] == self.piece[k] and self.rank[at] <= self.hidden[k]:
+                    return -1
+        return self.state[token]
+
+
 class BpeAutomaton:
     def __init__(self, path: str):
         vocab, raw, merges, self.special = read_vocabulary(path)
         self.labels = {vocab[t]: b for t, b in raw.items()}
         self.labels.update({i: t.encode() for t, i in self.special.items()})
-        self._gadgets: dict[int, dict[int, int]] = {}
-        self._made: dict[int, tuple[int, int, int]] = {}
-        for rank, (u, v) in enumerate(merges):
-            self._add_gadget(vocab[u], vocab[v], vocab[u + v], rank)
+        self.tables = Tables([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], max(vocab.values()) + 1)
         self._scan = ahocorasick.Automaton()
         for t, b in raw.items():
             self._scan.add_word(b.decode("latin-1"), (vocab[t], len(b)))
         self._scan.make_automaton()
-        self._arcs = Memo(self._arc, MEMO_ARCS)
+        self._arcs = Memo(self.tables.step, MEMO_ARCS)
         self._split, self._exact = regex.compile(SPLIT).findall, None
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = Memo(self._word, MEMO_WORDS)
 
-    def _add_gadget(self, u: int, v: int, made: int, rank: int) -> None:
-        if made in self._made:
-            raise ValueError(f"token {made} is made by two merges; the automaton needs one merge per token")
-        self._gadgets.setdefault(u, {})[v] = rank
-        self._made[made] = (u, v, rank)
-
-    def _edge(self, token: int, side: int):
-        """The tokens at one edge of ``token`` while it is built, each with the rank that hides it."""
-        hidden = _NEVER
-        while True:
-            yield token, hidden
-            made = self._made.get(token)
-            if made is None:
-                return
-            token, hidden = made[side], made[2]
-
-    def _arc(self, key: int) -> bool:
-        """Whether the arc from state ``key >> 20`` labelled ``key & 0xFFFFF`` is left by all gadgets."""
-        after = [*self._edge(key & 0xFFFFF, 0)]
-        for u, until in self._edge(key >> 20, 1):
-            gadget = self._gadgets.get(u)
-            if gadget:
-                for v, hidden in after:
-                    rank = gadget.get(v)
-                    if rank is not None and rank < until and rank <= hidden:
-                        return False
-        return True
-
     def _word(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8").decode("latin-1")
-        arcs, last, size = self._arcs, [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        for end, (token, n) in self._scan.iter(data):
+        arcs, n = self._arcs, len(data)
+        states, last, size = [0] + [-1] * n, [0] * (n + 1), [0] * (n + 1)
+        for end, (token, length) in self._scan.iter(data):
             end += 1
-            if not size[end]:
-                start = end - n
-                if not start or (size[start] and arcs[last[start] << 20 | token]):
-                    last[end], size[end] = token, n
-        ids, at = [], len(data)
+            if states[end] < 0:
+                state = states[end - length]
+                if state >= 0 and (to := arcs[state << 20 | token]) >= 0:
+                    states[end], last[end], size[end] = to, token, length
+        ids, at = [], n
         while at:
             ids.append(last[at])
             at -= size[at]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import Scratch, written
+
+__all__ = ["SPACE", "Memo", "Scratch", "chunks", "few_files", "table", "written"]
+
 #: ASCII white space of the text contracts: space and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,31 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temp folder only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return found.rstrip("/")
-
-
-#: Rows of an Arrow batch on the way to Python workers while a table is written; rows can be long texts or sets.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+def few_files(df: DataFrame, most: int = 32) -> DataFrame:
+    """``df``, a plain Parquet table, or that many of its files, evenly spaced, if it has more: for samples that need not read the table."""
+    files = sorted(df.inputFiles())
+    if len(files) <= most:
+        return df
+    return df.sparkSession.read.schema(df.schema).parquet(*(files[k * len(files) // most] for k in range(most)))
 
 
 class Memo(dict):

@@ -1,25 +1,32 @@
 """Jaccard join of word-shingle sets by parity sketches.
 
-Two sets of sizes a and b with Jaccard similarity of at least 3/4 differ in at most
-D = (a + b) // 7 shingles. Shingles are hashed into blocks; a block's parity is the XOR
-of its shingles' hashes, and each shingle in which two sets differ spoils at most one
-block, so at most D blocks differ. Pairs are formed per size band: bands grow by a
-factor of four, the number of blocks belongs to the band of the larger set, and sets
-near an edge take part in two bands. Among the blocks that are not empty a set needs to
-show only the D + 1 first in a global order (frequent parities of a bounded sample last,
-then by hash): two sets whose blocks overlap that much share one of them, whatever the
-order. A set with no more than D filled blocks shows all of them, and its first n/4 + 1
-shingles among the sets of that kind. So no link is lost.
-
-Sets that show the same parity form a group. Each group's smallest member is compared
-with the others, and the links found are joined to components. Members of a group that
-are still in different components are compared among themselves, in blocks of bounded
-size, unless the Hamming distance of their bit sketches (XOR of one bit per shingle), a
-lower bound of the difference, is over D: first each with its nearest, which joins most
-of what belongs together, then, over the components left, all. Every link is verified on
-the whole sets.
-
-Equal sets are one class, known by the set's 128-bit hash: one member shows blocks for
+A set's parity sketch is a string of 2^40 bits in which each shingle flips one bit, so two
+sets' sketches differ in at most as many bits as the sets differ in shingles. Two sets of
+sizes a and b with Jaccard similarity of at least 3/4 differ in at most D = (a + b) // 7.
+
+Candidates, by pigeonhole within size bands: the sketch is cut into pieces of equal
+length, more than D of them, so at most D pieces differ. Bands grow by a factor of four, the
+number of pieces belongs to the band of the larger set, and sets near an edge take part in
+two bands. Sketches are sparse; a piece is known by a 64-bit code of the places of its one
+bits, and only pieces that are not zero are looked at. A set shows the first D + 1 of them in
+a global order (frequent codes of a bounded sample last, then by code): two sets whose
+pieces differ in no more than D share one of these, whatever the order. A set with no more
+than D pieces that are not zero shows all, and, for others of that kind, the first D + 1 of
+its sketch cut into single bits. So no link is lost.
+
+Screening: the sketch folded to a few bits per shingle still bounds the difference from
+below; candidates whose folded sketches have a Hamming distance over D are dropped, the
+others are verified on the whole sets.
+
+Sets that show the same code form a group. Groups are streamed in range partitions, so a
+code that very many sets show is dealt over as many tasks as its rows need: in each the
+smallest member is compared with the others, and these smallest with each other. The
+links found are joined to components. Members of a group that are still in different
+components are compared among themselves where their sizes fit (by buckets of size, each
+member in two), in blocks of bounded size: first each with its nearest, which joins most of
+what belongs together, then, over the components left, all.
+
+Equal sets are one class, known by the set's 128-bit hash: one member shows codes for
 each input task, and the smallest id stands for all in pairs, groups and sketches.
 
 Cases: null and empty texts, and texts of white space, have empty sets and are linked
@@ -37,15 +44,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import Scratch, chunks
 from .components import connected_components
 
-WORDS = 5
+WORDS, SKETCH_BITS = 5, 40
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-#: Members of a group that are compared in one block, share of rows that are sampled for the order, and frequent parities kept of it.
+#: Members of a group that are compared in one block, share of rows that are sampled for the order, and frequent codes kept of it.
 GROUP_BLOCK, ORDER_SHARE, ORDER_KEPT = 1024, 0.12, 200_000
 
 
@@ -80,30 +87,39 @@ def _band(n: int) -> int:
     return (n.bit_length() - 1) // 2  # sizes from 4^s to 4^(s+1) - 1
 
 
-def _blocks(band: int) -> int:
+def sketch(u: np.ndarray) -> np.ndarray:
+    """The places (40 bits, sorted) of the one bits of a set's parity sketch."""
+    places = u >> np.uint64(64 - SKETCH_BITS)
+    starts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]]) if len(u) else np.empty(0, np.int64)
+    if len(starts) == len(u):
+        return places
+    return places[starts][np.diff(np.r_[starts, len(u)]) % 2 == 1]
+
+
+def _pieces(band: int) -> int:
     return max(16, 4 ** (band + 1) * 2 // 5)
 
 
-def parities(u: np.ndarray, band: int) -> np.ndarray:
-    """The parities of the filled blocks of a set, mixed with block and band."""
-    block = (u >> np.uint64(32)) * np.uint64(_blocks(band)) >> np.uint64(32)
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    parity = np.bitwise_xor.reduceat(_mixed(u + _M1), starts)
-    return _mixed(parity + block[starts] * _M1 + np.uint64((band + 1) * int(_M3) % 2**64))
+def piece_codes(places: np.ndarray, band: int) -> np.ndarray:
+    """Codes of the pieces of a sketch that are not zero: the XOR of their bits' codes, mixed with piece and band."""
+    piece = places * np.uint64(_pieces(band)) >> np.uint64(SKETCH_BITS)
+    starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+    bits = np.bitwise_xor.reduceat(_mixed(places + _M1), starts)
+    return _mixed(bits + piece[starts] * _M1 + np.uint64((band + 1) * int(_M3) % 2**64))
 
 
 def shown(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures that a set shows (uint64); ``frequent`` is sorted."""
-    n = len(u)
-    if not n:
-        return u
+    """The codes that a set shows (uint64); ``frequent`` is sorted."""
+    places, n = sketch(u), len(u)
+    if not len(places):
+        return places
     own, most, out = _band(n), n * 4 // 3, []
     for band in {own, _band(most)}:
         d = most_apart(n, min(most, 4 ** (band + 1) - 1))
-        p = parities(u, band)
+        p = piece_codes(places, band)
         if len(p) <= d:
-            first = np.sort(_mixed(u ^ _M2))[: n - -(-3 * n // 4) + 1]
-            out += [p, _mixed(first)]
+            single = np.sort(_mixed(places ^ _M2))
+            out += [p, _mixed(single[: most_apart(n, most) + 1])]
             continue
         if len(frequent):
             often = frequent[np.searchsorted(frequent, p).clip(max=len(frequent) - 1)] == p
@@ -118,15 +134,15 @@ def shown(u: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(u: np.ndarray) -> np.ndarray:
-    """XOR of one bit per shingle; two bits (four below 256 shingles) for each of the set's size rounded up to a power of four."""
+    """The sketch folded to two bits (four below 256 shingles) for each of the set's size rounded up to a power of four."""
     band = _band(max(1, len(u)))
     bits = max(64, (4 if band <= 3 else 2) * 4 ** (band + 1))
-    ones = np.bincount((_mixed(u ^ _M3) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    ones = np.bincount((sketch(u) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(ones.astype(np.uint8))
 
 
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
-    """A sketch with fewer bits: the XOR of its parts (bit positions are hashes modulo the size)."""
+    """A folded sketch with fewer bits: the XOR of its parts (places are taken modulo the size)."""
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
 
 
@@ -190,24 +206,49 @@ def _signatures(classes: DataFrame) -> DataFrame:
     return classes.where("shown is not null").select("id", "shown").mapInArrow(run, "sig long, node long")
 
 
-def _groups(signatures: DataFrame) -> DataFrame:
-    """sig, pivot, node: each group's smallest member with every other, streamed over sorted rows."""
+def _groups(signatures: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each group's smallest member with the others, and the members (sig, id) that may yet have a partner.
+
+    Rows are range-partitioned by code and member and streamed. The smallest member that a
+    task sees of a code stands for those in the task; of a code that goes on in other tasks
+    (the first or last of a task may) these are compared with the smallest of all.
+    """
 
     def run(batches):
-        sig, pivot = None, None
+        sig, pivot, count, first = None, None, 0, True
+
+        def edge():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((sig, pa.int64()), (pivot, pa.int64()), (pivot, pa.int64()), (True, pa.bool_()))], names=["sig", "pivot", "node", "edge"])
+
         for batch in batches:
             s, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(s):
                 continue
-            starts = np.flatnonzero(np.r_[sig is None or s[0] != sig, s[1:] != s[:-1]])
-            run_of = np.cumsum(np.r_[sig is None or s[0] != sig, s[1:] != s[:-1]]) - 1
-            pivots = np.r_[node[starts], 0 if pivot is None else pivot][run_of]  # -1: the run before goes on
-            sig, pivot = s[-1], pivots[-1]
+            new = np.r_[sig is None or s[0] != sig, s[1:] != s[:-1]]
+            starts = np.flatnonzero(new)
+            if first and sig is not None and len(starts):
+                yield edge()  # the first code of the task is over
+                first = False
+            pivots = np.r_[node[starts], 0 if pivot is None else pivot][np.cumsum(new) - 1]  # -1: the run before goes on
+            if first and len(starts) > 1:
+                sig, pivot = s[0], pivots[0]
+                yield edge()
+                first = False
+            sig, pivot = int(s[-1]), int(pivots[-1])
             at = np.flatnonzero(pivots != node)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(pivots[at]), pa.array(node[at])], names=["sig", "pivot", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(pivots[at]), pa.array(node[at]), pa.array(np.zeros(len(at), bool))], names=["sig", "pivot", "node", "edge"])
+        if sig is not None:
+            yield edge()
 
-    return signatures.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, pivot long, node long")
+    streamed = signatures.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
+    rows = tables.written(streamed.mapInArrow(run, "sig long, pivot long, node long, edge boolean"), "join-groups")
+    inner = rows.where("not edge").select("sig", "pivot", "node")
+    edges = rows.where("edge").select("sig", "node").distinct()  # two rows of a task at most
+    over = edges.groupBy("sig").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    across = edges.join(F.broadcast(over), "sig").select("sig", "pivot", "node")
+    pairs = inner.select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(across.where("node <> pivot").select("pivot", "node")).distinct()
+    return pairs, inner.select("sig", F.col("node").alias("id")).union(across.select("sig", "node"))
 
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,15 +289,15 @@ def _plausible(reps: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFr
     return drawn.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, tables: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are linked, checked on the whole sets."""
 
     def make(rows):
         got = {(doc, shingle_set(text).tobytes()) for doc, text in rows}
         yield _batch("id u", [pa.int64(), pa.binary()], sorted(got))
 
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-nodes")
-    sets = written(_sets(_of_nodes(docs, nodes), "id long, u binary", make), "join-sets")
+    nodes = tables.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "join-nodes")
+    sets = tables.written(_sets(_of_nodes(docs, nodes), "id long, u binary", make), "join-sets")
     left = sets.select(F.col("id").alias("a"), F.col("u").alias("ua"))
     right = sets.select(F.col("id").alias("b"), F.col("u").alias("ub"))
 
@@ -345,7 +386,7 @@ def _cross_pairs(sketches: DataFrame, members: DataFrame, nearest: bool) -> Data
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Parities shown three times or more by a sample of ORDER_SHARE of the rows; they only come last in the order."""
+    """Codes shown three times or more by a sample of ORDER_SHARE of the rows; they only come last in the order."""
     few = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(ORDER_SHARE * 1_000_000))
     rows = _signatures(_classes(few, np.empty(0, np.uint64))).groupBy("sig").count().where("count > 2").orderBy(F.desc("count"), "sig").limit(ORDER_KEPT).collect()
     return np.sort(np.array([r["sig"] for r in rows], np.int64).view(np.uint64))
@@ -355,17 +396,23 @@ def _labelled(frame: DataFrame, found: DataFrame, col: str, out: str) -> DataFra
     return frame.join(found.select(F.col("id").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
 
-def _mixed_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """sig, id, c, n: members (sig, id) of the groups that hold several components, where a neighbour by size is near enough.
+def size_bucket(n: Column) -> Column:
+    """The power of 4/3 that a size reaches: sizes that fit each other are in the same bucket or in the next."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+
+
+def _mixed_members(groups: DataFrame, nodes: DataFrame, split: bool, tables: Scratch) -> DataFrame:
+    """sig, id, c, n: members (sig, id) of the groups that hold several components.
 
-    ``nodes`` has id, n, rep, c; the representative of a class stands for its members. Of
-    groups with the same members one is kept.
+    ``nodes`` has id, n, rep, c; the representative of a class stands for its members.
+    With ``split`` a group is cut by size: a member goes to the part of its bucket and to
+    the next, so two that fit are together in one. Of groups with the same members one is kept.
     """
-    by_size = Window.partitionBy("sig").orderBy("n")
-    near = (4 * F.lag("n").over(by_size) >= 3 * F.col("n")) | (4 * F.col("n") >= 3 * F.lead("n").over(by_size))
-    members = groups.join(nodes, "id").select("sig", F.col("rep").alias("id"), "c", "n").repartition("sig").distinct()
-    members = members.select("sig", "id", "c", "n", F.coalesce(near, F.lit(False)).alias("near")).where("near").drop("near")
-    members = written(members, "join-labelled")
+    members = groups.join(nodes, "id").select("sig", F.col("rep").alias("id"), "c", "n")
+    if split:
+        bucket = size_bucket(F.col("n"))
+        members = members.withColumn("part", F.explode(F.array(bucket, bucket + 1))).select(F.xxhash64("sig", "part").alias("sig"), "id", "c", "n")
+    members = tables.written(members.distinct(), "join-labelled")
     prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
     mixed = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k"), *prints).where("x < y")
     one = mixed.groupBy("k", "f1", "f2").agg(F.min("sig").alias("sig")).select("sig")
@@ -373,28 +420,28 @@ def _mixed_members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_shingles`` long and ``component_id`` long of every row."""
+    """``id_col``, ``n_shingles`` long and ``component_id`` long of every row, as a written table."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    classes = written(_classes(docs, _frequent(docs)), "join-classes")
-    shared = written(_groups(_signatures(classes)), "join-groups")
-    pairs = shared.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    filled = classes.where("n > 0 and id is not null")
-    sketches = written(filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "join-sketches")
-    reps = filled.select("id", "n", "d1", "d2").join(sketches.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"])
-    reps = written(reps.select("id", "n", "rep").distinct(), "join-reps")
-    same = reps.where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    likely = written(_plausible(reps, sketches, pairs).distinct(), "join-likely")
-    links = written(same.union(_verified(docs, likely)), "join-links")
-    found = connected_components(links)
-    groups = shared.select("sig", F.col("node").alias("id"))  # the pivot has been compared with all
-    for nearest in (True, False):
-        nodes = _labelled(reps, found, "id", "c")
-        members = written(_mixed_members(groups, nodes), "join-members")
-        crossed = written(_cross_pairs(sketches, members, nearest), "join-crossed")
-        more = written(crossed.where("a is not null").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "join-likely")
-        if more.limit(1).count():
-            links = written(_verified(docs, more), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
-            found = connected_components(links)
-            likely = likely.union(more)
-        groups = members.join(crossed.select("sig").distinct(), "sig", "left_semi").select("sig", "id")
-    return _labelled(classes, found, "id", "component_id").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast("long"))
+    with Scratch(df.sparkSession) as tables:
+        classes = tables.written(_classes(docs, _frequent(docs)), "join-classes")
+        pairs, groups = _groups(_signatures(classes), tables)
+        filled = classes.where("n > 0 and id is not null")
+        sketches = tables.written(filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "join-sketches")
+        reps = filled.select("id", "n", "d1", "d2").join(sketches.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"])
+        reps = tables.written(reps.select("id", "n", "rep").distinct(), "join-reps")
+        same = reps.where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        likely = tables.written(_plausible(reps, sketches, pairs).distinct(), "join-likely")
+        links = tables.written(same.union(_verified(docs, likely, tables)), "join-links")
+        found = connected_components(links, tables)
+        for nearest in (True, False):
+            nodes = _labelled(reps, found, "id", "c")
+            members = tables.written(_mixed_members(groups, nodes, nearest, tables), "join-members")
+            crossed = tables.written(_cross_pairs(sketches, members, nearest), "join-crossed")
+            more = tables.written(crossed.where("a is not null").select("a", "b").distinct().join(likely, ["a", "b"], "left_anti"), "join-likely")
+            if more.limit(1).count():
+                links = tables.written(_verified(docs, more, tables), "join-links").union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))
+                found = connected_components(links, tables)
+                likely = likely.union(more)
+            groups = members.join(crossed.select("sig").distinct(), "sig", "left_semi").select("sig", "id")
+        out = _labelled(classes, found, "id", "component_id")
+        return tables.written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast("long")), "join-components", keep=True)

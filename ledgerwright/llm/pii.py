@@ -9,25 +9,37 @@ of their own format, so equal values get equal pseudonyms in all documents:
   are NNN-NNN-NNNN, (NNN) NNN-NNNN, both with or without a country code, and ``+``, an
   assigned country code and its national digits, together or in groups; where fewer than
   ten digits follow the country code, those are permuted;
-* IPv4 addresses: permuted among all 2^32;
-* social security style numbers: the nine digits;
-* ISO dates (a real day from 1900-01-01 to 2099-08-05): the 72,900 days are permuted;
-* hexadecimal keys of 32 to 64 digits: pieces of 24 digits as pairs of numbers;
+* IPv4 addresses, but for 0.x.x.x, 127.x.x.x, 255.255.255.255 and four single digits
+  (those are version numbers more often): permuted among all 2^32;
+* social security style numbers whose area is not 000, 666 or 9xx, group not 00 and serial
+  not 0000: the nine digits;
+* ISO dates (a real day from 1900-01-01 to 2099-08-05): the 72,900 days are permuted; dates
+  written otherwise are not touched;
+* hexadecimal keys of 32 to 64 digits, at least 8 of them different: pieces of 24 digits as
+  pairs of numbers;
 * e-mail addresses: letters and digits are permuted within their class by a Feistel
   network over the two halves of the string; the top-level domain stays.
 
-Numeric values are pairs (a, b) in Z_A x Z_B; a round adds a keyed hash of one half to
-the other. A text is split at the found values and joined again, so everything between
-them stays byte for byte. Values that fail validation (a wrong Luhn digit, a day that
-does not exist) stay.
+Numeric values are pairs (a, b) in Z_A x Z_B; a round adds a keyed hash (HMAC-SHA256) of
+one half to the other. A pseudonym that would not pass its format's validation
+is permuted again until it passes (cycle walking, up to WALKS times), so pseudonyms are
+valid and the permutation can be undone with the key. A text is
+split at the found values and joined again, so everything between them stays byte for
+byte. Values that fail validation stay. Phone numbers are known by their form alone.
+
+The key is the caller's secret: whoever has it can undo the pseudonyms.
 
 Cases: null texts stay null; texts without values stay; repeated rows get equal
-results; extra columns are kept.
+results; extra columns are kept, except that those named like ``out_col`` and
+``count_col`` are replaced; names that start with ``_pii_`` are the operator's own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Formats (fixed patterns), tried in this order at each place.
@@ -54,9 +66,30 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The setting that names the secret of a session.
+KEY_SETTING = "spark.ledgerwright.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The session's secret from KEY_SETTING; without one a random secret, drawn once for the session."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
+def hmac_sha256(key: str, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal of a string's UTF-8 bytes."""
+    secret = key.encode()
+    block = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
 def _prf(key: str, kind: str, turn: Column, half: Column) -> Column:
-    """A keyed hash of up to 48 bits."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string")), 256)
+    """A keyed hash of 48 bits."""
+    digest = hmac_sha256(key, F.concat_ws("|", F.lit(kind), turn.cast("string"), half.cast("string")))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
@@ -167,7 +200,7 @@ def permuted_letters(s: Column, key: str, kind: str, inverse: bool = False) -> C
 
     def turn(acc, i):
         other = F.when(i % 2 == 0, acc["b"]).otherwise(acc["a"])
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.size(acc["a"]).cast("string"), F.array_join(other, "")), 256)
+        stream = hmac_sha256(key, F.concat_ws("|", F.lit(kind), i.cast("string"), F.size(acc["a"]).cast("string"), F.array_join(other, "")))
         half = F.when(i % 2 == 0, acc["a"]).otherwise(acc["b"])
         moved = let(stream, lambda t: _shifted(half, t, -1 if inverse else 1))
         return F.struct(F.when(i % 2 == 0, moved).otherwise(acc["a"]).alias("a"), F.when(i % 2 == 0, acc["b"]).otherwise(moved).alias("b"))
@@ -203,17 +236,42 @@ def _hex(m: Column, key: str, inverse: bool) -> Column:
     return F.when(upper, F.upper(out)).otherwise(out)
 
 
+#: Further permutations at most where one gives a value that is not valid; a chance of about 1 in 10 each, for numbers.
+WALKS = 12
+
+
+def valid(kind: str, m: Column) -> Column:
+    """Whether a value of the right form is one that the format allows."""
+    if kind == "ip":
+        return ~m.rlike(r"^(?:0|127)\.|^255\.255\.255\.255$|^[0-9](?:\.[0-9]){3}$")
+    if kind == "ssn":
+        return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "key":
+        return F.size(F.array_distinct(F.split(F.lower(m), ""))) >= 8
+    return F.lit(True)
+
+
+def _walked(m: Column, kind: str, once) -> Column:
+    """``once`` applied until its value is valid; values that are not valid themselves stay."""
+
+    def step(x, _):
+        return F.when(valid(kind, x), x).otherwise(once(x))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(m), step)
+    return F.when(valid(kind, m), walk).otherwise(m)
+
+
 def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of one found value, by its format."""
     at_start = {k: m.rlike(f"^(?:{p})$") for k, p in FORMATS.items()}
-    digits = lambda kind: let(_digits(m), lambda d: refilled(m, permuted_digits(d, key, kind, inverse)))
+    digits = lambda x: let(_digits(x), lambda d: refilled(x, permuted_digits(d, key, "ssn", inverse)))
     return (
         F.when(at_start["email"], _email(m, key, inverse))
-        .when(at_start["key"], _hex(m, key, inverse))
-        .when(at_start["ip"], _ip(m, key, inverse))
+        .when(at_start["key"], F.when(valid("key", m), _hex(m, key, inverse)).otherwise(m))
+        .when(at_start["ip"], _walked(m, "ip", lambda x: _ip(x, key, inverse)))
         .when(at_start["phone"], _phone(m, key, inverse))
         .when(at_start["date"], _date(m, key, inverse))
-        .when(at_start["ssn"], digits("ssn"))
+        .when(at_start["ssn"], _walked(m, "ssn", digits))
         .when(at_start["card"], _card(m, key, inverse))
         .otherwise(m)
     )
@@ -224,15 +282,15 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", out_col: str |
 
     Only texts in which a value is found are split; ``pseudonymize`` with other keys gives unrelated pseudonyms.
     """
-    text, out_col = F.col(text_col), out_col or text_col
-    split = df.withColumn("_pii_found", F.when(text.rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    out_col = out_col or text_col
+    own = df.select(*(c for c in df.columns if c not in (count_col, "_pii_text", "_pii_found", "_pii_new")), F.col(text_col).alias("_pii_text"))
+    text = F.col("_pii_text")
+    split = own.withColumn("_pii_found", F.when(text.rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     has = F.size("_pii_found") > 0
     split = split.withColumn("_pii_new", F.when(has, F.transform("_pii_found", lambda m: pseudonym(m, key))))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat("_pii_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    new = {out_col: F.when(has, joined).otherwise(text)}
     if count_col:
         changed = F.size(F.filter(F.zip_with("_pii_found", "_pii_new", lambda a, b: a != b), lambda x: x))
-        split = split.withColumn("_pii_n", F.when(has, changed).otherwise(0).cast("long"))
-    out = split.withColumn(out_col, F.when(has, joined).otherwise(text))
-    if count_col:
-        out = out.withColumn(count_col, F.col("_pii_n")).drop("_pii_n")
-    return out.drop("_pii_found", "_pii_new")
+        new[count_col] = F.when(has, changed).otherwise(0).cast("long")
+    return split.withColumns(new).drop("_pii_text", "_pii_found", "_pii_new")

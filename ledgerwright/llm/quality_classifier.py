@@ -1,24 +1,30 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good (1), bad (0) or nothing (-1) on every document. The votes
-of all documents are counted by vote pattern (at most 3 to the number of labellers
-rows), and expectation-maximisation on those counts estimates how often each labeller
-votes each way on good documents and on each kind of bad ones, and with that each
-pattern's posterior.
-Posteriors then train a linear scorer over hashed features (word shapes, word ends,
-repetition), fitted on a bounded sample of rows, ``train_rows``; everything else covers
-all rows.
-
-Cases: null and empty texts have no words, are voted bad by the labeller for empty texts and get
-a score like any other text; repeated rows get equal scores; with fewer than two
-different vote patterns the scorer gives the posterior; an empty table gives no rows;
-extra columns are not carried.
+Overlapping heuristic labellers vote good, bad or nothing on every document. The votes of
+all documents are counted by vote pattern (at most 3 to the number of labellers rows), and
+expectation-maximisation on those counts estimates how often each labeller votes bad on
+good documents and on each kind of bad ones, and with that each pattern's posterior.
+Labellers come in groups that look at the same fault in different ways; there is a kind of
+bad documents for each group, so that the votes of one kind's labellers are not held
+against another kind. Nothing fixes a pattern's verdict beforehand: one labeller's alarm
+that the others of its group do not share is weighed by what such alarms are worth.
+Posteriors then train a linear scorer over hashed features (word shapes, signals), fitted
+on a bounded number of rows, ``train_rows``; everything else covers all rows.
+
+Each text is read once: votes and hashed features of all rows are written, and counting,
+sampling and scoring read that table.
+
+Cases: null and empty texts have no words, and every labeller votes bad on them; repeated
+rows get equal scores; with fewer than two different vote patterns the scorer gives the
+posterior; an empty table gives no rows; extra columns are not carried, so their names
+cannot clash.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,87 +32,87 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, chunks
-
-LABELLERS = ("empty", "symbols", "capitals", "repeats", "lines", "doubled", "common_words")
-#: Frequent function words of the four languages (fixed values).
-COMMON = frozenset("the of and to a in is it that was for on are with as be this have from by de la le et les des en un une que est pour dans qui sur avec der die das und ist im zu von mit den ein eine nicht auf el los las y por con para del se una es".split())
-#: Prior share of bad votes on good documents.
-FALSE_ALARMS = 0.01
-_SYMBOL = re.compile(r"[#*$%&|<>]")
+from .common import Memo, Scratch, chunks
+
+#: Labellers by the fault they look for.
+GROUPS = {"symbols": ("symbols", "marked_words", "plain_words"), "repeats": ("triples", "variety", "packed", "lines", "doubled"), "capitals": ("capital_words", "capital_letters")}
+LABELLERS = tuple(x for group in GROUPS.values() for x in group)
+BAD, GOOD, NONE = 0, 1, -1
+#: (limit of bad, limit of good, least number of words): a signal beyond the first is voted bad, beyond the second good.
+LIMITS = {
+    "symbols": (0.1, 0.02, 1), "marked_words": (0.1, 0.02, 1), "plain_words": (-0.4, -0.6, 5),
+    "triples": (0.3, 0.1, 25), "variety": (-2.0, -4.0, 25), "packed": (-0.2, -0.3, 40), "lines": (0.5, 0.1, 25), "doubled": (0.2, 0.05, 8),
+    "capital_words": (0.25, 0.05, 5), "capital_letters": (0.3, 0.1, 5),
+}
+_SYMBOL, _CAPITAL, _SMALL = re.compile(r"[#*$%&|<>]"), re.compile("[A-Z]"), re.compile("[a-z]")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
 
 
-def text_signals(text: str | None) -> dict[str, float]:
-    """Shares that the labellers and the scorer look at."""
-    text = text or ""
-    words = text.split()
+def text_signals(text: str | None, words: list[str]) -> dict[str, float]:
+    """What the labellers look at; signals of which less is worse come negative. Empty for a text without words."""
     n = len(words)
     if not n:
-        return dict.fromkeys(("n", "symbols", "capitals", "repeats", "lines", "doubled", "common"), 0.0)
+        return {}
+    symbols = len(_SYMBOL.findall(text))
+    big, small = len(_CAPITAL.findall(text)), len(_SMALL.findall(text))
     lines = [x for x in text.split("\n") if x.strip()]
-    triples = max(1, n - 2)
+    raw = text.encode("utf-8", "surrogatepass")
     return {
-        "n": float(n),
-        "symbols": len(_SYMBOL.findall(text)) / n,
-        "capitals": sum(map(str.isupper, words)) / n,
-        "repeats": 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / triples if n > 2 else 0.0,
-        "lines": 1 - len(set(lines)) / max(1, len(lines)),
+        "symbols": symbols / n,
+        "marked_words": len([w for w in words if _SYMBOL.search(w)]) / n if symbols else 0.0,
+        "plain_words": -sum(map(str.isalpha, words)) / n,
+        "triples": 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 2 else 0.0,
+        "variety": -len(set(words)) / math.sqrt(n),
+        "packed": -len(zlib.compress(raw, 1)) / len(raw),
+        "lines": 1 - len(set(lines)) / len(lines),
         "doubled": sum(map(str.__eq__, words, words[1:])) / n,
-        "common": len([w for w in words if w in COMMON]) / n,
+        "capital_words": sum(map(str.isupper, words)) / n,
+        "capital_letters": big / (big + small) if big + small else 0.0,
     }
 
 
-def votes(s: dict[str, float]) -> tuple[int, ...]:
-    """One vote per labeller, in the order of LABELLERS."""
-
-    def vote(x, bad, good):
-        return 0 if x > bad else 1 if x < good else -1
-
-    return (
-        0 if not s["n"] else -1,
-        vote(s["symbols"], 0.1, 0.02),
-        vote(s["capitals"], 0.25, 0.02) if s["n"] >= 5 else -1,
-        vote(s["repeats"], 0.3, 0.1) if s["n"] >= 25 else -1,
-        vote(s["lines"], 0.6, 0.1),
-        vote(s["doubled"], 0.2, 0.05),
-        (1 if s["common"] > 0.08 else 0 if s["common"] < 0.005 and s["n"] >= 30 else -1) if s["n"] >= 5 else -1,
-    )
-
-
-def em(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 50, kinds: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good per pattern, and the table p[labeller, class, vote + 1] (1 for no vote).
-
-    Class 0 is good. With ``kinds`` there is one class of bad documents for each
-    labeller, since most are bad in one way only, and EM starts from the belief that a
-    pattern with a bad vote is bad; without, one class for all, and it starts from the
-    majority. Tables are smoothed by a vote;
-    a kind that one labeller alone can see is held apart by the prior FALSE_ALARMS, which
-    weighs as much as the documents.
+def votes(signals: dict[str, float], n: int) -> tuple[int, ...]:
+    """One vote per labeller, in the order of LABELLERS; a text without words is bad to all."""
+    if not n:
+        return (BAD,) * len(LABELLERS)
+    out = []
+    for name in LABELLERS:
+        bad, good, least = LIMITS[name]
+        x = signals[name]
+        out.append(NONE if n < least else BAD if x > bad else GOOD if x < good else NONE)
+    return tuple(out)
+
+
+def em(patterns: list[tuple[int, ...]], counts: np.ndarray, groups: list[list[int]], rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of good per pattern, table p[labeller, class] of a bad vote where it votes, and the classes' shares.
+
+    Class 0 is good, class 1 + g the bad documents of group g. A pattern's first belief in
+    class 1 + g is the square of the share of bad votes among the group's, against the
+    product of what the groups leave; no vote is no evidence. Rates and shares are
+    smoothed by one document.
     """
-    v = np.array(patterns) + 1
-    k = v.shape[1]
-    bad = (v == 1).astype(float) if kinds else (2 * (v == 1).sum(axis=1, keepdims=True) > (v > 0).sum(axis=1, keepdims=True)).astype(float)
-    some = bad.sum(axis=1, keepdims=True)
-    share = np.where(some > 0, bad / np.maximum(some, 1), 1 / bad.shape[1])
-    belief = np.where(some > 0, np.c_[np.full(len(v), 0.01), 0.99 * share], np.c_[np.full(len(v), 0.99), 0.01 * share])
-    table = np.ones((k, belief.shape[1], 3))
+    v = np.array(patterns)
+    share = np.stack([(v[:, g] == BAD).sum(axis=1) / np.maximum(1, (v[:, g] != NONE).sum(axis=1)) for g in groups], axis=1)
+    belief = np.c_[(1 - share).prod(axis=1) + 1e-3, share**2]
+    belief /= belief.sum(axis=1, keepdims=True)
+    bad, voted = (v == BAD).astype(float), (v != NONE).astype(float)
+    good = voted - bad
     for _ in range(rounds):
-        for j in range(k):
-            for y in range(belief.shape[1]):
-                n = np.bincount(v[:, j], weights=belief[:, y] * counts, minlength=3)[1:] + 1
-                if kinds and y == 0:
-                    n += counts.sum() * np.array([FALSE_ALARMS, 1 - FALSE_ALARMS])
-                table[j, y, 1:] = n / n.sum()  # no vote, no evidence
-        prior = belief.T @ counts + 1
-        log = np.log(prior / prior.sum()) + sum(np.log(table[j][:, v[:, j]]).T for j in range(k))
+        weight = belief * counts[:, None]
+        rate = (bad.T @ weight + 0.5) / (voted.T @ weight + 1)
+        prior = (weight.sum(axis=0) + 1) / (counts.sum() + belief.shape[1])
+        log = np.log(prior) + bad @ np.log(rate) + good @ np.log(1 - rate)
         now = np.exp(log - log.max(axis=1, keepdims=True))
         now /= now.sum(axis=1, keepdims=True)
         done = np.abs(now - belief).max() < 1e-9
         belief = now
         if done:
             break
-    return belief[:, 0], table
+    return belief[:, 0], rate, prior
+
+
+def labeller_groups() -> list[list[int]]:
+    return [[LABELLERS.index(x) for x in group] for group in GROUPS.values()]
 
 
 def _shape(word: str) -> str:
@@ -116,16 +122,15 @@ def _shape(word: str) -> str:
     return upper + word[:8]
 
 
-def hashed_features(text: str | None, signals: dict[str, float], dim: int, memo) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and values (summed to unit length) of a text's features."""
-    words = (text or "").split()
+def hashed_features(words: list[str], signals: dict[str, float], dim: int, memo) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes and values (to unit length) of a text's features."""
     at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
     index, count = np.unique(at, return_counts=True)
     value = np.sqrt(count / max(1, len(words)))
-    extra = [(f"{k}:{min(9, int(10 * v)) if k != 'n' else int(math.log2(v + 1))}", 0.5) for k, v in signals.items()]
-    index = np.r_[index, [xxhash.xxh32_intdigest(k) % dim for k, _ in extra]]
-    value = np.r_[value, [v for _, v in extra]]
-    return index.astype(np.int32), (value / np.linalg.norm(value)).astype(np.float32)
+    extra = [f"{k}:{min(20, int(10 * abs(v)))}" for k, v in signals.items()] + [f"n:{len(words).bit_length()}"]
+    index = np.r_[index, [xxhash.xxh32_intdigest(k) % dim for k in extra]]
+    value = np.r_[value, np.full(len(extra), 0.5)]
+    return index.astype("<u2"), (value / np.linalg.norm(value)).astype("<f2")
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, dim: int, rounds: int = 300, rate: float = 2.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -144,52 +149,69 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, di
     return w, bias
 
 
-def classify_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, dim: int = 1 << 15) -> DataFrame:
-    """``id_col``, ``weak_label`` (posterior of good), ``score`` (the scorer's), ``kept`` boolean of every row."""
-    docs = df.select(F.col(id_col), F.col(text_col))
+def pattern_code(v: tuple[int, ...]) -> int:
+    code = 0
+    for x in v:
+        code = code * 3 + x + 1
+    return code
 
-    def vote_counts(batches):
-        seen: dict[tuple, int] = {}
-        for batch in chunks(batches, 1000):
-            for text in batch.column(0).to_pylist():
-                p = votes(text_signals(text))
-                seen[p] = seen.get(p, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
 
-    found = docs.select(text_col).mapInArrow(vote_counts, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    patterns, counts = [tuple(r["votes"]) for r in found], np.array([r["n"] for r in found], float)
-    posterior = dict(zip(patterns, em(patterns, counts)[0].tolist(), strict=True)) if patterns else {}
+def pattern_of(code: int) -> tuple[int, ...]:
+    out = []
+    for _ in LABELLERS:
+        code, x = divmod(code, 3)
+        out.append(x - 1)
+    return tuple(reversed(out))
 
-    def sampled(batches):
-        memo = Memo(lambda w: xxhash.xxh32_intdigest(_shape(w)) % dim, 300_000)
-        for batch in chunks(batches, 500):
-            out = []
-            for text in batch.column(0).to_pylist():
-                s = text_signals(text)
-                i, v = hashed_features(text, s, dim, memo)
-                out.append((posterior[votes(s)], i.tolist(), v.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float32()))], names=["y", "i", "v"])
-
-    share = min(1.0, train_rows / max(1.0, counts.sum()))
-    of_sample = F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = docs.where(of_sample).select(text_col).mapInArrow(sampled, "y double, i array<int>, v array<float>").collect() if patterns else []
-    rows = sorted(rows, key=lambda r: (r["y"], r["i"]))
-    weights, bias = fit_scorer([(np.array(r["i"], np.int64), np.array(r["v"])) for r in rows], np.array([r["y"] for r in rows]), dim) if len(posterior) > 1 and rows else (None, 0.0)
-    weights = None if weights is None else weights.astype(np.float32)
-
-    def scored(batches):
+
+def measured(docs: DataFrame, id_col: str, text_col: str, dim: int) -> DataFrame:
+    """``id_col``, ``pattern`` int and ``at``, ``weight`` (packed feature indexes and values) of every row."""
+
+    def run(batches):
         memo = Memo(lambda w: xxhash.xxh32_intdigest(_shape(w)) % dim, 300_000)
         for batch in chunks(batches, 500):
-            weak, score = [], []
+            codes, at, weight = [], [], []
             for text in batch.column(1).to_pylist():
-                s = text_signals(text)
-                weak.append(posterior[votes(s)])
-                if weights is not None:
-                    i, v = hashed_features(text, s, dim, memo)
-                    score.append(1 / (1 + math.exp(-max(-50.0, min(50.0, float(weights[i] @ v) + bias)))))
-                else:
-                    score.append(weak[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak), pa.array(score), pa.array([x >= 0.5 for x in score])], names=[id_col, "weak_label", "score", "kept"])
+                words = text.split() if text else []
+                s = text_signals(text, words)
+                index, value = hashed_features(words, s, dim, memo)
+                codes.append(pattern_code(votes(s, len(words))))
+                at.append(index.tobytes())
+                weight.append(value.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int32()), pa.array(at, pa.binary()), pa.array(weight, pa.binary())], names=[id_col, "pattern", "at", "weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(scored, f"`{id_col}` {kind}, weak_label double, score double, kept boolean")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, pattern int, at binary, weight binary")
+
+
+def classify_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, dim: int = 1 << 14) -> DataFrame:
+    """``id_col``, ``weak_label`` (posterior of good), ``score`` (the scorer's), ``kept`` boolean of every row.
+
+    The scorer's rows are the ``train_rows`` smallest by a hash of their features, whatever
+    the size of the table. The result is a written table.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    with Scratch(df.sparkSession) as tables:
+        rows = tables.written(measured(df, id_col, text_col, dim), "quality-signals")
+        found = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
+        posterior: dict[int, float] = {}
+        if found:
+            good = em([pattern_of(r["pattern"]) for r in found], np.array([r["n"] for r in found], float), labeller_groups())[0]
+            posterior = dict(zip((r["pattern"] for r in found), good.tolist(), strict=True))
+        weights, bias = None, 0.0
+        if len(posterior) > 1:
+            place = F.xxhash64("pattern", "at", "weight", id_col)
+            few = rows.select("pattern", "at", "weight", place.alias("place")).orderBy("place").limit(train_rows).collect()
+            features = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["weight"], "<f2").astype(np.float64)) for r in few]
+            weights, bias = fit_scorer(features, np.array([posterior[r["pattern"]] for r in few]), dim)
+
+        def scored(batches):
+            for batch in chunks(batches, 1000):
+                weak = [posterior[p] for p in batch.column(1).to_pylist()]
+                score = weak
+                if weights is not None:
+                    z = [float(weights[np.frombuffer(a, "<u2")] @ np.frombuffer(v, "<f2").astype(np.float64)) + bias for a, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                    score = [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in z]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak, pa.float64()), pa.array(score, pa.float64()), pa.array([x >= 0.5 for x in score], pa.bool_())], names=[id_col, "weak_label", "score", "kept"])
+
+        return tables.written(rows.mapInArrow(scored, f"`{id_col}` {kind}, weak_label double, score double, kept boolean"), "quality-scores", keep=True)

@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, line_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, topk, warc
-from .common import table, written
+from .common import Scratch, table
 
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: The key of the registered PII query; a deployment passes its own secret.
-PII_KEY = "ledgerwright-demonstration-key"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +51,9 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.file_count(pages.select(F.col("page_id").alias("key")))
     hit = F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html")), 256).startswith("00") & (F.length("html") > 0)
     hurt = warc.warc_records(pages.withColumn("html", F.when(hit, F.concat(F.lit("~"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))))
-    a, b = (written(warc.merkle_leaves(x, files), "warc-leaves") for x in (good, hurt))
-    return warc.audit(a, b).select(F.col("key").alias("page_id"), "length", "record_hash", "intact")
+    with Scratch(spark) as tables:
+        a, b = (tables.written(warc.merkle_leaves(x, files), "warc-leaves") for x in (good, hurt))
+        return warc.audit(a, b).select(F.col("key").alias("page_id"), "length", "record_hash", "intact")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymize(docs, PII_KEY, count_col="n_replaced")
+    return pii.pseudonymize(docs, pii.session_key(spark), count_col="n_replaced")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [name for name, _, _ in quality_rules.plan_rules(docs)]
     measured = quality_rules.measures(docs).withColumn("base_failed", quality_rules.base_failed())
     order = [x for x in order if x not in ("few_words", "repeats")]  # those two are the base
-    more = quality_rules.cascade(quality_rules.DEFAULT_RULES, order, F.col("text"), F.col("_words"))
+    known = {k: F.col(k) for k in quality_rules.BASE_MEASURES}
+    more = quality_rules.cascade(quality_rules.DEFAULT_RULES, order, F.col("text"), F.col("_words"), known)
     kept = F.when(F.col("base_failed"), False).otherwise(more.isNull())
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
@@ -135,12 +135,15 @@ c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i +
 m AS (SELECT w.rid, w.doc_id, w.t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
-  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, len(string_split(t, chr(10))) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, len(string_split(t, chr(10))) AS n_lines,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*\x{2022}\x{25cf}\x{25aa}]'))) AS bullets, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t]*$'))) AS broken,
+  len(list_filter(ws, lambda x: regexp_matches(x, '[^\x21-\x40\x5B-\x60\x7B-\x7E]'))) AS letters, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN c ON w.rid = c.rid),
 x AS (SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > 2 * n_words
-    OR 10 * caps > 4 * word_chars OR 10 * n_dup_lines > 6 * n_lines) AS kept
+    OR 10 * caps > 4 * word_chars OR 10 * n_dup_lines > 6 * n_lines
+    OR 10 * bullets > 9 * n_lines OR 10 * broken > 3 * n_lines OR 10 * letters < 6 * n_words) AS kept
 FROM x
 """
 

@@ -1,11 +1,12 @@
 """WARC records and a Merkle fixity audit of two replicas (native expressions).
 
-``warc_records`` renders rows as WARC/1.0 response records with their place in the
+``warc_records`` renders rows as WARC/1.0 resource records with their place in the
 archive file (ordered by key). ``merkle_leaves`` hashes each record with its offset
 range; ``merkle_levels`` hashes ``fanout`` neighbouring nodes, in the order of offsets,
 into a node of the next level, up to one root per file. ``audit`` compares the roots of
 two replicas and descends: on each level only children of nodes that differ are
-compared, down to the records.
+compared, down to the records. Each level is written once, and so is each list of
+differing nodes.
 
 Files are dealt by a hash of the key, about ``file_records`` records to a file, so no
 file holds more of a skewed key range than of any other; records with equal keys are
@@ -19,11 +20,11 @@ empty table has no files; extra columns are dropped.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 FANOUT = 16
 
 
@@ -69,32 +70,35 @@ def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return nodes.groupBy("file", F.floor(F.col("leaf") / fanout).cast("int").alias("parent")).agg(F.sha2(joined, 256).alias("hash")).withColumnRenamed("parent", "leaf")
 
 
-def merkle_levels(leaves: DataFrame, largest: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves to the roots for files of at most ``largest`` records."""
+def merkle_levels(leaves: DataFrame, largest: int, fanout: int, tables: Scratch) -> list[DataFrame]:
+    """Levels from the leaves to the roots for files of at most ``largest`` records, each a written table."""
     levels = [leaves.select("file", "leaf", "hash")]
     while largest > 1:
-        levels.append(parents(levels[-1], fanout))
+        levels.append(tables.written(parents(levels[-1], fanout), "warc-level"))
         largest = -(-largest // fanout)
     return levels
 
 
+def differing(x: DataFrame, y: DataFrame, within: DataFrame | None, fanout: int) -> DataFrame:
+    """Nodes (file, leaf) of one level whose hashes differ or that one side lacks; only children of ``within`` are looked at."""
+    if within is not None:
+        branch = within.select("file", F.col("leaf").alias("up"))
+        x, y = (s.withColumn("up", F.floor(F.col("leaf") / fanout).cast("int")).join(branch, ["file", "up"], "left_semi").drop("up") for s in (x, y))
+    both = x.withColumnRenamed("hash", "hx").join(y.withColumnRenamed("hash", "hy"), ["file", "leaf"], "full")
+    return both.where(~F.col("hx").eqNullSafe(F.col("hy"))).select("file", "leaf")
+
+
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Leaves of replica ``a`` with ``intact``: whether replica ``b`` has the same record at the same place.
 
     ``a`` and ``b`` are results of ``merkle_leaves`` and should be written tables.
-    Records that only ``b`` has come with null key and hash.
+    Records that only ``b`` has come with null key and hash. The result is a written table.
     """
-    largest = a.unionByName(b).groupBy("file").agg(F.max("leaf").alias("n")).agg(F.max("n")).first()[0]
-    sides = [merkle_levels(x, (largest or 0) + 1, fanout) for x in (a, b)]
-
-    def differing(level: int, within: DataFrame | None) -> DataFrame:
-        x, y = (s[level] for s in sides)
-        if within is not None:
-            branch = within.select("file", F.col("leaf").alias("up"))
-            x, y = (s.withColumn("up", F.floor(F.col("leaf") / fanout).cast("int")).join(branch, ["file", "up"], "left_semi").drop("up") for s in (x, y))
-        both = x.withColumnRenamed("hash", "hx").join(y.withColumnRenamed("hash", "hy"), ["file", "leaf"], "full")
-        return both.where(~F.col("hx").eqNullSafe(F.col("hy"))).select("file", "leaf")
-
-    bad = reduce(lambda within, level: differing(level, within), range(len(sides[0]) - 1, -1, -1), None)
-    marked = bad.withColumn("damaged", F.lit(True))
-    return a.join(marked, ["file", "leaf"], "full").withColumn("intact", F.col("damaged").isNull()).drop("damaged")
+    with Scratch(a.sparkSession) as tables:
+        largest = a.select("leaf").unionByName(b.select("leaf")).agg(F.max("leaf")).first()[0]
+        sides = [merkle_levels(x, -1 if largest is None else largest + 1, fanout, tables) for x in (a, b)]
+        bad = None
+        for x, y in reversed([*zip(*sides, strict=True)]):
+            bad = tables.written(differing(x, y, bad, fanout), "warc-differing")
+        marked = bad.withColumn("damaged", F.lit(True))
+        return tables.written(a.join(marked, ["file", "leaf"], "full").withColumn("intact", F.col("damaged").isNull()).drop("damaged"), "warc-audit", keep=True)

@@ -28,7 +28,8 @@ def test_pipeline_stages(spark, tmp_path):
     def verdict(t):
         n, chars, symbols, dup, rep = brute_rules(t)
         caps = sum("A" <= c <= "Z" for c in t or "")
-        return not (n < 50 or 100 * rep > 50 * n or chars < 2 * n or chars > 12 * n or 10 * symbols > 2 * n or 10 * caps > 4 * chars or 10 * dup > 6 * len((t or "").split("\n")))
+        letters = sum(any(not (33 <= ord(c) <= 64 or 91 <= ord(c) <= 96 or 123 <= ord(c) <= 126) for c in w) for w in (t or "").split())
+        return not (10 * letters < 6 * n or n < 1 or 100 * rep > 50 * n or chars < 2 * n or chars > 12 * n or 10 * symbols > 2 * n or 10 * caps > 4 * chars or 10 * dup > 6 * len((t or "").split("\n")))
 
     rows = [(i, t) for i, t in enumerate(texts) if verdict(t)]
     docs = corpus_pipeline.STAGES[0][1](spark, frame, str(tmp_path))
@@ -42,6 +43,10 @@ def test_pipeline_stages(spark, tmp_path):
     docs = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
     assert docs.columns == frame.columns and docs.where(F.col("text").contains("x.y@a.example.com")).count() == 0
     assert docs.where("n_chars <> length(text)").count() == 0 and docs.count() == len(keep)
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, str(tmp_path))
+        assert nothing.count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_pieces(packed, None, 2048)
     assert {r.doc_id for r in packed} == keep
