@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept;
 ``run`` writes each stage's result as Parquet in the shared folder and reads it again.
 The first four return the columns of ``documents``; the last returns packed pieces.
+
+Cases: null and empty texts go in the first stage; an empty table gives no rows in any
+stage; rows that repeat an id are documents of their own but for the near-duplicate
+stage, which keeps one row of those with equal texts; columns that an operator adds for
+itself are dropped, so columns of the table with the same names come through only where
+the operator keeps them: the table should not use its names.
 """
 
 from __future__ import annotations
@@ -12,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import line_dedup, ngram_join, packing, pii, quality_rules
-from ledgerwright.llm.common import table, written
-from ledgerwright.llm.queries import BYTE_BPE, PII_KEY
+from ledgerwright.llm.common import Scratch, table, written
+from ledgerwright.llm.queries import BYTE_BPE
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,8 +30,9 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_rules.quality_filter(docs).where("kept").select(*docs.columns)
+    """Documents that the rules reject go; short ones without another fault stay, since many of them are clean."""
+    order = [name for name, _, _ in quality_rules.plan_rules(docs, quality_rules.CORPUS_RULES)]
+    return docs.where(quality_rules.cascade(quality_rules.CORPUS_RULES, order, F.col("text")).isNull())
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,20 +43,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of linked documents stays; rows without an id stay.
 
-    A shared line whose keeper goes moves to the largest holder that stays, or to the end of
-    the document that stands for the keeper's group where no holder stays.
+    Rows with the same id and text are one document, of which one row stays. A shared line
+    whose keeper goes moves to the largest holder that stays, or to the end of the document
+    that stands for the keeper's group where no holder stays.
     """
     raw = table(spark, sf_dir, "documents")
     found = written(ngram_join.ngram_components(docs), "stage-components")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
+    side = F.broadcast(gone) if gone.count() <= 1_000_000 else gone  # counted; above it the join is a shuffle
     moves = written(line_dedup.orphaned_lines(raw, found), "stage-moves")
-    return _measured(line_dedup.move_lines(docs.join(side, "doc_id", "left_anti"), moves, raw), docs.columns)
+    kept = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.limit(1).count():  # ids that several rows share
+        same = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(same)
+    return _measured(line_dedup.move_lines(kept, moves, raw), docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms of the same format."""
-    return _measured(pii.pseudonymize(docs, PII_KEY), docs.columns)
+    return _measured(pii.pseudonymize(docs, pii.session_key(spark)), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,6 +84,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            docs = tables.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        return tables.written(STAGES[-1][1](spark, docs, sf_dir), "pipeline", keep=True)
