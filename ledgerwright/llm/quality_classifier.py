@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from .common import Memo, Scratch, chunks
 
 #: Labellers by the fault they look for.
-GROUPS = {"symbols": ("symbols", "marked_words", "plain_words"), "repeats": ("triples", "variety", "packed", "lines", "doubled"), "capitals": ("capital_words", "capital_letters")}
+GROUPS = {"symbols": ("symbols", "marked_words", "plain_words"), "repeats": ("triples", "variety", "packed", "lines", "doubled"), "capitals": ("capital_words", "capital_letters", "capital_lines")}
 LABELLERS = tuple(x for group in GROUPS.values() for x in group)
 BAD, GOOD, NONE = 0, 1, -1
 #: (limit of bad, limit of good, least number of words): a signal beyond the first is voted bad, beyond the second good.
 LIMITS = {
     "symbols": (0.1, 0.02, 1), "marked_words": (0.1, 0.02, 1), "plain_words": (-0.4, -0.6, 5),
     "triples": (0.3, 0.1, 25), "variety": (-2.0, -4.0, 25), "packed": (-0.2, -0.3, 40), "lines": (0.5, 0.1, 25), "doubled": (0.2, 0.05, 8),
-    "capital_words": (0.25, 0.05, 5), "capital_letters": (0.3, 0.1, 5),
+    "capital_words": (0.25, 0.05, 5), "capital_letters": (0.3, 0.1, 5), "capital_lines": (0.5, 0.1, 5),
 }
 _SYMBOL, _CAPITAL, _SMALL = re.compile(r"[#*$%&|<>]"), re.compile("[A-Z]"), re.compile("[a-z]")
 _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
@@ -55,7 +55,7 @@ def text_signals(text: str | None, words: list[str]) -> dict[str, float]:
         return {}
     symbols = len(_SYMBOL.findall(text))
     big, small = len(_CAPITAL.findall(text)), len(_SMALL.findall(text))
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in text.split("\n") if x.strip()] or [text]
     raw = text.encode("utf-8", "surrogatepass")
     return {
         "symbols": symbols / n,
@@ -68,6 +68,7 @@ def text_signals(text: str | None, words: list[str]) -> dict[str, float]:
         "doubled": sum(map(str.__eq__, words, words[1:])) / n,
         "capital_words": sum(map(str.isupper, words)) / n,
         "capital_letters": big / (big + small) if big + small else 0.0,
+        "capital_lines": sum(map(str.isupper, lines)) / len(lines),
     }
 
 

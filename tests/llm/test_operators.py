@@ -395,8 +395,8 @@ def brute_em(rows, groups, rounds):
 def planted_votes(n, seed):
     """Kind of each document and its votes: labellers of several accuracies, with abstentions and false alarms."""
     rnd, groups = random.Random(seed), quality_classifier.labeller_groups()
-    alarm = [0.02, 0.3, 0.05, 0.02, 0.05, 0.25, 0.1, 0.02, 0.02, 0.1]  # a bad vote on a good document
-    hit = [0.95, 0.9, 0.85, 0.9, 0.8, 0.9, 0.7, 0.85, 0.95, 0.9]  # a bad vote on a document of its kind
+    alarm = [0.02, 0.3, 0.05, 0.02, 0.05, 0.25, 0.1, 0.02, 0.02, 0.1, 0.05]  # a bad vote on a good document
+    hit = [0.95, 0.9, 0.85, 0.9, 0.8, 0.9, 0.7, 0.85, 0.95, 0.9, 0.85]  # a bad vote on a document of its kind
     kinds, rows = [], []
     for _ in range(n):
         kind = rnd.choices(range(4), weights=[70, 12, 10, 8])[0]
