@@ -409,9 +409,11 @@ def _mixed_members(groups: DataFrame, nodes: DataFrame, split: bool, tables: Scr
     the next, so two that fit are together in one. Of groups with the same members one is kept.
     """
     members = groups.join(nodes, "id").select("sig", F.col("rep").alias("id"), "c", "n")
-    if split:
+    if split:  # groups of one component are left out before rows are copied
+        members = tables.written(members, "join-grouped")
+        several = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("sig")
         bucket = size_bucket(F.col("n"))
-        members = members.withColumn("part", F.explode(F.array(bucket, bucket + 1))).select(F.xxhash64("sig", "part").alias("sig"), "id", "c", "n")
+        members = members.join(several, "sig", "left_semi").withColumn("part", F.explode(F.array(bucket, bucket + 1))).select(F.xxhash64("sig", "part").alias("sig"), "id", "c", "n")
     members = tables.written(members.distinct(), "join-labelled")
     prints = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
     mixed = members.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k"), *prints).where("x < y")
