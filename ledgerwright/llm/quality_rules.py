@@ -125,7 +125,7 @@ def _measure(text: Column, words: Column, known: dict[str, Column]) -> Measure:
     return lambda name: known[name] if name in known else MEASURES[name](text, words)
 
 
-def plan_rules(df: DataFrame, rules: dict[str, Rule] = DEFAULT_RULES, text_col: str = "text", sample: int = 2000, turns: int = 4) -> list[tuple[str, float, float]]:
+def plan_rules(df: DataFrame, rules: dict[str, Rule] = DEFAULT_RULES, text_col: str = "text", sample: int = 1000, turns: int = 2) -> list[tuple[str, float, float]]:
     """Rules in the order of rejection per cost, as (name, rejected share, seconds).
 
     The sample is about ``sample`` rows picked by a hash of the text's start and length,
@@ -173,7 +173,7 @@ def cascade(rules: dict[str, Rule], order: list[str], text: Column, words: Colum
     return first(text, words) if words is not None else let(words_of(text), lambda w: first(text, w))
 
 
-def quality_filter(df: DataFrame, text_col: str = "text", rules: dict[str, Rule] = DEFAULT_RULES, sample: int = 2000) -> DataFrame:
+def quality_filter(df: DataFrame, text_col: str = "text", rules: dict[str, Rule] = DEFAULT_RULES, sample: int = 1000) -> DataFrame:
     """``df`` with ``kept`` boolean by the planned cascade."""
     order = [name for name, _, _ in plan_rules(df, rules, text_col, sample)]
     return df.withColumn("kept", cascade(rules, order, F.col(text_col)).isNull())
