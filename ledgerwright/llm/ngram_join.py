@@ -385,10 +385,34 @@ def _cross_pairs(sketches: DataFrame, members: DataFrame, nearest: bool) -> Data
     return full.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, "sig long, a long, b long")
 
 
+def _codes(docs: DataFrame) -> DataFrame:
+    """sig: the codes that the classes of ``docs`` show where none is frequent.
+
+    In one step, not by ``_classes`` and ``_signatures``: a second Python worker for each
+    task would stay, with its memory, until the join ends.
+    """
+
+    def run(batches):
+        none, seen = np.empty(0, np.uint64), set()
+        for batch in chunks(batches, 500):
+            out = [none]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u = shingle_set(text)
+                digest = xxhash.xxh3_128_digest(u.tobytes())
+                if doc is not None and len(u) and digest not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(digest)
+                    out.append(shown(u, none))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["sig"])
+
+    return docs.mapInArrow(run, "sig long")
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """Codes shown three times or more by a sample of ORDER_SHARE of the rows; they only come last in the order."""
     few = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(ORDER_SHARE * 1_000_000))
-    rows = _signatures(_classes(few, np.empty(0, np.uint64))).groupBy("sig").count().where("count > 2").orderBy(F.desc("count"), "sig").limit(ORDER_KEPT).collect()
+    rows = _codes(few).groupBy("sig").count().where("count > 2").orderBy(F.desc("count"), "sig").limit(ORDER_KEPT).collect()
     return np.sort(np.array([r["sig"] for r in rows], np.int64).view(np.uint64))
 
 

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from ledgerwright.llm import line_dedup
+from ledgerwright.llm import line_dedup, ngram_join
 from pyspark.sql import functions as F
 
 from .test_operators import brute_components, brute_lines, brute_rules, check_pieces
@@ -82,3 +82,25 @@ def test_lines_go_back_in_place():
     assert line_dedup.with_lines_back("", 1, [(1, f"{a}\n{b}", keys[1:])]) == b
     assert line_dedup.with_lines_back("other row", 1, [(1, f"{a}\n{b}", keys)]) == "other row"
     assert line_dedup.with_lines_back(c, 1, [(2, f"{b}\n{a}\n{b}", keys), (3, a, keys)]) == f"{c}\n{b}\n{a}"
+
+
+def test_targets_gather_moved_lines_only(spark):
+    lines = [f"a shared line with the number {i:04}" for i in range(40)]
+    rest = "\n".join(f"other words that stay behind {i}" for i in range(500))
+    raw = spark.createDataFrame([(i, f"{x}\n{rest}\n{x}") for i, x in enumerate(lines)], "doc_id long, text string")
+    keys = [line_dedup.line_key(x, 20) for x in lines]
+    moves = spark.createDataFrame([(i, 0, [k]) for i, k in enumerate(keys)], "donor long, target long, keys array<struct<h1:long,h2:long>>")
+    got = {r.donor: r._ld_before for r in line_dedup.line_sources(moves, raw).collect()}
+    assert got == dict(enumerate(lines)) | {0: f"{lines[0]}\n{rest}\n{lines[0]}"}
+    docs = raw.where("doc_id = 0").withColumn("text", F.lit(rest))
+    text = line_dedup.move_lines(docs, moves, raw).first().text
+    assert text.startswith(f"{lines[0]}\n{rest}\n{lines[0]}\n") and sorted(text.split("\n")[502:]) == lines[1:]
+
+
+def test_sample_of_the_order_takes_one_worker_a_task(spark):
+    docs = spark.range(30).selectExpr("id", "if(id = 7, null, concat('one two three four five six ', id % 10)) text")
+    codes = ngram_join._codes(docs)
+    assert codes._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    none = ngram_join.np.empty(0, "uint64")
+    both = ngram_join._signatures(ngram_join._classes(docs, none)).select("sig")
+    assert sorted(r.sig for r in codes.collect()) == sorted(r.sig for r in both.collect())
