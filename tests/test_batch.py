@@ -266,3 +266,11 @@ def test_intermediate_tables_are_deleted(spark):
         kept = tables.written(spark.range(4), "kept", keep=True)
         assert len(storage._left) == before + 2
     assert len(storage._left) == before + 1 and kept.count() == 4
+
+
+def test_records_are_dealt_by_file_once(spark):
+    parsed, _ = B.candidates(views(spark, [("/1/a.pdf", "h1", 0, EINVOICE)]), Config())
+    plan = B.parse_views(parsed, Config(), [])._jdf.queryExecution().executedPlan().toString()
+    assert "mtime" in plan
+    top = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert top.count("Window") >= 3 and top.count("Exchange") == 1
